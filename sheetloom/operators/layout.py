@@ -1,0 +1,17 @@
+"""Ordered folds over the geometry of page lines."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+
+def cluster_lefts(df: DataFrame, by: str, value: str, tie: str, gap: float) -> DataFrame:
+    """(by, cluster, left_edge, n): single-linkage clusters of a value; a
+    cluster ends where the next value is gap or more away. Edges are exact
+    minima."""
+    w = Window.partitionBy(by).orderBy(value, tie)
+    starts = F.when(F.col(value) - F.lag(value).over(w) < gap, 0).otherwise(1)
+    numbered = df.where(F.col(value).isNotNull()).select(by, value, tie, starts.alias("_new")).withColumn("cluster", F.sum("_new").over(w))
+    return numbered.groupBy(by, "cluster").agg(F.min(value).alias("left_edge"), F.count(F.lit(1)).alias("n"))

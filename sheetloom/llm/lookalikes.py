@@ -15,7 +15,6 @@ are never joined.
 
 from __future__ import annotations
 
-import re
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -168,7 +167,7 @@ class Rewriter:
             self.automaton.add_word(k, (len(k), v))
         self.automaton.make_automaton()
         # a text without the last code point of any member stays as it is
-        self.trigger = re.compile("[" + "".join(map(re.escape, sorted({k[-1] for k in mapping}))) + "]")
+        self.trigger = frozenset(k[-1] for k in mapping)
         self.invisible = {ord(k): None for k, v in mapping.items() if v == "" and len(k) == 1}
 
     def _once(self, text: str) -> str:
@@ -181,7 +180,7 @@ class Rewriter:
         return "".join(out)
 
     def __call__(self, text: str | None) -> str | None:
-        if not text or not self.trigger.search(text):
+        if not text or self.trigger.isdisjoint(text):
             return text
         text = text.translate(self.invisible)  # these may stand inside a longer member
         for _ in range(4):

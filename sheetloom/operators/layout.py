@@ -52,6 +52,31 @@ def cluster_lefts(df: DataFrame, by: str, value: str, tie: str, gap: float) -> D
     return numbered.groupBy(by, "cluster").agg(F.min(value).alias("left_edge"), F.count(F.lit(1)).alias("n"))
 
 
+def greedy_groups(df: DataFrame, reach: int) -> DataFrame:
+    """(key, anchor, n) of df(key, at, tie): values of a key in order; one
+    joins the open group if it lies within reach of where that group began.
+    Batches are read in key order and only the open group is kept, so a key
+    may have any number of rows."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key = anchor = None
+        n = 0
+        for batch in batches:
+            out = []
+            for k, at in zip(batch["key"].tolist(), batch["at"].tolist(), strict=True):
+                if n and k == key and at - anchor <= reach:
+                    n += 1
+                    continue
+                if n:
+                    out.append((key, anchor, n))
+                key, anchor, n = k, at, 1
+            yield pd.DataFrame(out, columns=["key", "anchor", "n"])
+        if n:
+            yield pd.DataFrame([(key, anchor, n)], columns=["key", "anchor", "n"])
+
+    rows = df.where("key is not null and at is not null").repartition("key").sortWithinPartitions("key", "at", "tie")
+    return rows.select("key", "at").mapInPandas(run, "key long, anchor long, n long")
+
+
 @dataclass
 class Entry:
     number: str

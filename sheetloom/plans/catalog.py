@@ -13,6 +13,7 @@ from sheetloom.functions import lexicons as lx
 from sheetloom.functions import text as tx
 from sheetloom.operators import figures as fg
 from sheetloom.operators import furniture as fu
+from sheetloom.operators import index as ix
 from sheetloom.operators import inventory as inv
 from sheetloom.operators import lookup as lk
 from sheetloom.operators import pages as pg
@@ -616,6 +617,64 @@ def row_pitch(spark, d):
     return ranked.where("i = n div 2 + 1").select("user_id", F.col("gap").alias("pitch"))
 
 
+@query()
+def greedy_rows(spark, d):
+    """Rows of events by anchored greedy grouping: an ordered fold per user."""
+    from sheetloom.operators.layout import greedy_groups
+
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    ev = read_table(spark, d, "events").select(F.col("user_id").alias("key"), micros.alias("at"), F.col("event_id").alias("tie"))
+    return greedy_groups(ev, 3_600_000_000)
+
+
+# --- rendered sections and the index -----------------------------------------------------------------------------------------
+
+
+def _described(spark, d):
+    """Sections as the index sees them."""
+    s = v.unique_sections(spark, d, "part_number", "number", "title", "page_start", "page_end", "paragraphs")
+    p = v.unique_plans(spark, d).select("doc_hash", "sec_pos", "file", tx.count_tokens(F.col("markdown")).alias("token_count"))
+    keys = tb.key_symbols(read_table(spark, d, "table_blocks")).select("doc_hash", F.col("section").alias("number"), "symbols")
+    n = read_table(spark, d, "table_blocks").groupBy("doc_hash", F.col("section").alias("number")).agg(F.count(F.lit(1)).cast("int").alias("n_tables"))
+    f = v.figures(spark, d).groupBy("doc_hash", "sec_pos").agg(F.count(F.lit(1)).cast("int").alias("n_figures"))
+    out = s.join(p, ["doc_hash", "sec_pos"]).join(keys, ["doc_hash", "number"], "left").join(n, ["doc_hash", "number"], "left").join(f, ["doc_hash", "sec_pos"], "left")
+    out = out.withColumns({"title": F.coalesce("title", F.lit("")), "n_tables": F.coalesce("n_tables", F.lit(0)), "n_figures": F.coalesce("n_figures", F.lit(0)), "symbols": F.coalesce("symbols", F.array().cast("array<string>"))})
+    return out.withColumn("description", ix.describe(F.col("paragraphs"), F.col("symbols"), F.col("n_figures")))
+
+
+@query()
+def section_descriptions(spark, d):
+    return _described(spark, d).select("doc_hash", "sec_pos", "description")
+
+
+@query()
+def index_ladder(spark, d):
+    return ix.index_ladder(_described(spark, d), ["part_number"], head_tokens=40, conventions_tokens=110, facts_tokens=60)
+
+
+@query()
+def index_lines(spark, d):
+    rows = _described(spark, d)
+    return ix.index_lines(rows, ix.index_ladder(rows, ["part_number"]), ["part_number"])
+
+
+_HEAD = """CASE WHEN trim(number || ' ' || title) = '' THEN '# ' ELSE '# ' || trim(number || ' ' || title) END"""
+
+
+@query(rf"""SELECT doc_hash, sec_pos, regexp_replace({_HEAD} || chr(10) || chr(10) || '<!-- source: ' || substr(doc_hash, 1, 8) ||
+    CASE WHEN page_start IS NULL THEN '' WHEN page_end IS NOT NULL AND page_end <> 0 AND page_end <> page_start THEN ' p.' || page_start || '-' || page_end ELSE ' p.' || page_start END || ' -->' || chr(10) || chr(10) ||
+    array_to_string(list_transform(list_filter(coalesce(paragraphs, []), p -> p IS NOT NULL), p -> p || chr(10) || chr(10)), ''), '{_S}+$', '') || chr(10) AS markdown
+FROM (SELECT * REPLACE (coalesce(title, '') AS title) FROM unique_sections)""")
+def section_markdown(spark, d):
+    s = v.unique_sections(spark, d, "number", "title", "page_start", "page_end", "paragraphs")
+    none = F.array().cast("array<struct<caption:string,conditions:string,headers:array<string>,grid:array<array<string>>,footnotes:array<struct<marker:string,text:string>>,csv_file:string>>")
+    s = s.withColumns({
+        "title": F.coalesce("title", F.lit("")), "paragraphs": F.filter(F.coalesce("paragraphs", F.array().cast("array<string>")), lambda p: p.isNotNull()),
+        "tables": none, "figures": F.array().cast("array<struct<caption:string,conditions:string,page:int>>"),
+    })
+    return s.select("doc_hash", "sec_pos", ix.section_markdown(F.substring("doc_hash", 1, 8)).alias("markdown"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -66,8 +66,10 @@ def read_json_documents(spark: SparkSession, path: str, schema: str) -> DataFram
 
 
 def unreadable_documents(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.schema("_corrupt_record string").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-    return raw.select(F.input_file_name().alias("_path"), "_corrupt_record").where("_corrupt_record is not null")
+    """(_path, _corrupt_record) of JSON files that can't be read."""
+    # a field that no file has: the parser must be asked for more than the broken text
+    raw = spark.read.schema("_none string, _corrupt_record string").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    return raw.where("_corrupt_record is not null and _none is null").select(F.input_file_name().alias("_path"), "_corrupt_record")
 
 
 def read_inventory(spark: SparkSession, path: str) -> DataFrame:

@@ -65,6 +65,14 @@ def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its scan gives fewer partitions than there are
+    (a table of one file has one row group to read), else df as it is. Only for
+    input tables in front of work that costs far more than moving the rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def hash128(*cols: Column) -> tuple[Column, Column]:
     """Two independently seeded 64-bit hashes of the same columns."""
     return F.xxhash64(F.lit(0x51), *cols), F.xxhash64(F.lit(0xA7), *cols)

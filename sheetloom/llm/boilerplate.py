@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetloom.runtime import BROADCAST_ROWS, hash128, shared_dir, sized, staged
+from sheetloom.runtime import BROADCAST_ROWS, hash128, shared_dir, sized, spread, staged
 
 #: A line is boilerplate if it occurs in so many documents of one source.
 THRESHOLD = 8
@@ -109,7 +109,7 @@ def repeated_lines(deltas: list[DataFrame], threshold: int = THRESHOLD, root: st
     rebuilt because its line crosses later."""
     store = LineCounts(deltas[0].sparkSession, root, threshold)
     found, seen = [], []
-    for delta in deltas:
+    for delta in map(spread, deltas):
         newly, touched = store.merge(delta)
         found.append(marked_lines(delta, store.crossed, "section_id"))
         if seen:

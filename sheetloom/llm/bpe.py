@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sheetloom.runtime import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 
 # Fixed value: the pattern that cuts texts into words for byte_bpe_50k.
@@ -199,7 +201,7 @@ def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=[id_col, "ids"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return spread(df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
 
 
 def count_tokens(df: DataFrame, text_col: str = "text", out: str = "n_tokens", path: str = VOCABULARY) -> DataFrame:
@@ -214,7 +216,7 @@ def count_tokens(df: DataFrame, text_col: str = "text", out: str = "n_tokens", p
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], n], names=[*keep, out])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != text_col]
-    return df.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("_text")).mapInArrow(run, ", ".join([*fields, f"`{out}` long"]))
+    return spread(df.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))).mapInArrow(run, ", ".join([*fields, f"`{out}` long"]))
 
 
 def decode_texts(encoded: DataFrame, id_col: str = "doc_id", path: str = VOCABULARY) -> DataFrame:

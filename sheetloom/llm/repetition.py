@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sheetloom.runtime import spread
+
 #: A word is repeated if it lies in so many words running that occurred before.
 RUN_WORDS = 6
 #: A document is a case from this share of repeated words on, as a fraction.
@@ -137,7 +139,7 @@ def repetition(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ru
                 names=[id_col, "n_words", "repeated_words", "repeated_share", "longest_repeat"],
             )
 
-    return df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).mapInArrow(
+    return spread(df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))).mapInArrow(
         run_batches, f"`{id_col}` {kind}, n_words long, repeated_words long, repeated_share double, longest_repeat long"
     )
 

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sheetloom.runtime import spread
+
 CHARS_PER_TOKEN = 4
 LIMIT = 512
 #: Texts are handled in groups of about so many code points, each text whole.
@@ -170,7 +172,7 @@ def split_pieces(df: DataFrame, id_col: str, text_col: str, limit: int = LIMIT,
                 names.append("text")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).mapInArrow(cut, schema)
+    return spread(df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))).mapInArrow(cut, schema)
 
 
 def oversized(df: DataFrame, id_col: str, text_col: str, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:

@@ -38,7 +38,7 @@ _FIELDS = "caption:string,conditions:string,headers:array<string>,grid:array<arr
 LAYOUT = (
     "doc_hash string, sec_pos int, number string, title string, level int, page_start int, page_end int, paragraphs array<string>, "
     f"tables array<struct<{_FIELDS}>>, figures array<struct<caption:string,page:int>>, "
-    "ladder string, tables_detected int, tables_accepted int, tables_rejected int, rejection_reasons array<string>, mean_fidelity double"
+    "ladder string, tables_detected int, tables_accepted int, tables_rejected int, rejection_reasons array<string>, mean_fidelity double, error string"
 )
 
 
@@ -405,7 +405,8 @@ _TOC = ["pos", "number", "title", "level", "page"]
 
 def extract_layout(page_spans: DataFrame, page_drawings: DataFrame, toc: DataFrame) -> DataFrame:
     """Sections of all documents, one row each, with nested tables and figures
-    and the document's extraction statistics.
+    and the document's extraction statistics. A document that can't be read is
+    one row with an error and without sections.
 
     page_spans(doc_hash, page, block, line_no, span_no, x0, x1, y0, y1, size,
     text), page_drawings(doc_hash, page, x0, y0, x1, y1), toc(doc_hash, pos,
@@ -425,8 +426,11 @@ def extract_layout(page_spans: DataFrame, page_drawings: DataFrame, toc: DataFra
             Entry(t.number or "", t.title or "", int(t.level), None if pd.isna(t.page) else int(t.page))
             for t in pdf[pdf.kind == "toc"].sort_values("pos").itertuples(index=False)
         ]
-        out = extract_document(key[0], pdf.loc[pdf.kind == "span", _SPAN], pdf.loc[pdf.kind == "box", _BOX], entries)
-        return pd.DataFrame(list(out), columns=names)
+        try:
+            out = list(extract_document(key[0], pdf.loc[pdf.kind == "span", _SPAN], pdf.loc[pdf.kind == "box", _BOX], entries))
+        except Exception as e:  # noqa: BLE001 - one broken document must not end the others' job
+            out = [{"doc_hash": key[0], "error": f"{type(e).__name__}: {e}"}]
+        return pd.DataFrame([[row.get(n) for n in names] for row in out], columns=names, dtype=object)
 
     return rows.groupBy("doc_hash").applyInPandas(run, LAYOUT)
 

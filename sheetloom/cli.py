@@ -7,16 +7,20 @@ from __future__ import annotations
 import argparse
 import os
 import sys
+from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
 from sheetloom import __version__
 from sheetloom.operators.figures import find_plots, plot_answer_line
+from sheetloom.operators.inventory import status_counts
 from sheetloom.operators.lookup import find_specs, format_answers
 from sheetloom.operators.verify import lookup_economics, summarize, verification_report, verify_questions
-from sheetloom.plans.build import Documents, build
+from sheetloom.plans.build import Documents, run_batch
 from sheetloom.runtime import local_session
+from sheetloom.sources.cache import ExtractionCache
 from sheetloom.sources.readers import read_golden
+from sheetloom.sources.writers import EventLog, log_path
 
 PLOTS_SHOWN, SPECS_SHOWN = 8, 5
 
@@ -46,12 +50,12 @@ def _build(a) -> int:
     if missing:
         print(f"no such tables below {a.input}: {', '.join(missing)}", file=sys.stderr)
         return 2
-    stats = build(spark, Documents(*[spark.read.parquet(f"{a.input}/{n}.parquet") for n in names]), a.corpus, a.budget, lambda s: print(s, flush=True))
-    failed = 0
-    for r in stats.orderBy("part_number").toLocalIterator():
-        failed += r.failed_documents
-        print(f"{r.part_number}: {r.n_sections or 0} sections, {r.n_tables or 0} tables, {r.n_figures or 0} figures, {r.n_specs or 0} specs, {r.total_tokens or 0} tokens, {r.failed_documents} failed")
-    return 1 if failed else 0
+    docs = Documents(*[spark.read.parquet(f"{a.input}/{n}.parquet") for n in names])
+    cache = None if a.no_cache else ExtractionCache(spark, f"{a.corpus}/cache/extract")
+    log = EventLog(log_path(f"{a.corpus}/cache", a.input, datetime.now(timezone.utc)), 0)
+    counts = status_counts(run_batch(spark, docs, a.corpus, log, a.budget, a.force, cache), []).first()
+    print(f"{counts.done} done, {counts.failed} failed, {counts.skipped} skipped")
+    return 0 if counts.ok else 1
 
 
 def _query(a) -> int:
@@ -133,6 +137,8 @@ def main(argv: list[str] | None = None) -> int:
     b = command("build", _build, "build a corpus from decoded documents")
     b.add_argument("input", help="folder of sources, page_spans, page_drawings, toc and pages as Parquet")
     b.add_argument("--budget", type=int, default=3000)
+    b.add_argument("--force", action="store_true", help="build parts that are up to date too")
+    b.add_argument("--no-cache", action="store_true", help="extract documents again")
     q = command("query", _query, "look up spec records", part=True)
     for name in ("symbol", "name", "section"):
         q.add_argument(f"--{name}", default="")

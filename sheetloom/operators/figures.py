@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sheetloom.functions.text import caption_tags, figure_number, pages_label, section_tags, slugify
+from sheetloom.functions.text import absolute_url, caption_tags, extension_of, figure_number, image_variants, pages_label, plot_file_path, section_tags, slugify, squash
 
 
 def plot_records(figures: DataFrame) -> DataFrame:
@@ -68,10 +68,23 @@ def pair_with_anchors(plots: DataFrame, anchors: DataFrame, least_height: float
     """Clip of each plot: the first anchor (by kind: captions before titles,
     then order) with its squashed caption on one of its pages. anchors
     (doc_hash, page, key, kind, anchor_pos, y0, y1); flat ones are skipped."""
-    from sheetloom.functions.text import squash
-
     wanted = plots.where("page_start is not null").select("doc_hash", "id", squash(F.col("caption")).alias("key"), "page_start", F.coalesce("page_end", "page_start").alias("page_last"))
     tall = anchors.where(F.col("y1") - F.col("y0") >= least_height)
     hits = wanted.join(tall, ["doc_hash", "key"]).where("page between page_start and page_last")
     clip = F.min_by(F.struct("page", "y0", "y1"), F.struct("kind", "anchor_pos")).alias("clip")
     return hits.groupBy("doc_hash", "id").agg(clip).select("doc_hash", "id", "clip.page", "clip.y0", "clip.y1")
+
+
+def image_candidates(plots: DataFrame) -> DataFrame:
+    """(plot_id, variant, url) of the addresses to try for each plot."""
+    rows = plots.where("image_url <> ''").select(F.col("id").alias("plot_id"), F.posexplode(image_variants(F.col("image_url"))).alias("variant", "url"))
+    return rows.withColumn("url", absolute_url(F.col("url")))
+
+
+def with_images(plots: DataFrame, candidates: DataFrame, fetched: DataFrame) -> DataFrame:
+    """plots with the file of their largest fetched image (and its data);
+    plots without any keep an empty file. fetched(url, data)."""
+    best = largest_images(candidates.join(fetched.where("data is not null").select("url", "data"), "url"))
+    joined = plots.join(best.withColumnRenamed("plot_id", "id"), "id", "left")
+    file = F.when(F.col("url").isNotNull(), plot_file_path(F.col("section"), F.col("id"), extension_of(F.col("url")))).otherwise(F.col("file"))
+    return joined.select(*[c for c in plots.columns if c != "file"], file.alias("file"), F.col("data").alias("image"))

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from sheetloom.functions import lexicons as lx
 from sheetloom.operators.grid import Node, parse_html, table_block
+from sheetloom.operators.pages import assign_pages
 
 _WS = re.compile(r"\s+")
 _NUMBER = re.compile(r"\d+(?:\.\d+)*")
@@ -167,3 +168,13 @@ def extract_sections(toc: DataFrame, cache: DataFrame) -> DataFrame:
     joined = toc.join(cache.select("url", "html"), "url", "left")
     page = F.coalesce("html", F.raise_error(F.concat(F.lit("no cached page for "), F.col("url"))).cast("string"))
     return joined.withColumn("section", section_of(page, F.col("url"), F.col("number"), F.col("title"))).drop("html")
+
+
+def viewer_sections(contents: DataFrame, cache: DataFrame, outline: DataFrame) -> DataFrame:
+    """The whole viewer path: contents pages (doc_hash, html) -> entries ->
+    cached section pages -> sections with page ranges from the printed outline
+    (doc_hash, pos, number, title, level, page)."""
+    parsed = extract_sections(parse_toc(contents, "doc_hash"), cache)
+    sections = parsed.select("doc_hash", F.col("pos").alias("sec_pos"), "section.number", "section.title", "section.level", "section.paragraphs", "section.tables", "section.figures", "section.error")
+    placed = assign_pages(sections.select("doc_hash", "sec_pos", "number", "title", "level"), outline).select("doc_hash", "sec_pos", "method", "page_start", "page_end")
+    return sections.join(placed, ["doc_hash", "sec_pos"], "left")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheetloom.functions import lexicons as lx
+from sheetloom.functions.text import detect_doc_type, sniff_revision
 
 
 def dedupe_first(sources: DataFrame, key: Column, order: list[str]) -> DataFrame:
@@ -86,3 +87,50 @@ def skip_reason(jobs: DataFrame, published: DataFrame, versions: DataFrame) -> D
     known = docs.select("part_number", "content_hash").distinct().withColumn("known", F.lit(True))
     out = jobs.join(parts, "part_number", "left").join(known, ["part_number", "content_hash"], "left")
     return out.select("source_id", F.coalesce(F.col("all_fresh") & F.col("known"), F.lit(False)).alias("skip"))
+
+
+def override_evidence(vendor: str) -> str:
+    return f"cli-override: --vendor {vendor}"
+
+
+def register_sources(files: DataFrame, part_number: str | None = None, vendor: str | None = None, nda: bool = False) -> DataFrame:
+    """files(path, content_hash, page_texts array<string>[, part_number]) as
+    source documents: type by name, revision by the first pages, vendor by
+    marks unless it is given. An unknown vendor is refused."""
+    if vendor is not None and vendor not in {v for v, _, _ in lx.VENDOR_PROFILES}:
+        raise ValueError(f"unknown vendor {vendor!r} (known: {', '.join(sorted(v for v, _, _ in lx.VENDOR_PROFILES))})")
+    texts = F.coalesce("page_texts", F.array().cast("array<string>"))
+    found = vendor_of(F.get(texts, F.lit(0)), F.regexp_extract("path", r"([^/\\]*)$", 1))
+    part = F.lit(part_number) if part_number is not None else F.col("part_number") if "part_number" in files.columns else F.lit("")
+    return files.select(
+        "content_hash", "path", part.alias("part_number"), detect_doc_type(F.col("path")).alias("doc_type"), sniff_revision(texts).alias("revision"),
+        F.size(texts).alias("page_count"), F.lit(nda).alias("nda"), (F.lit(vendor) if vendor else found["vendor"]).alias("vendor"),
+        (F.lit(override_evidence(vendor)) if vendor else found["evidence"]).alias("vendor_evidence"), F.current_timestamp().alias("registered_at"),
+    )
+
+
+def pin_vendor(sources: DataFrame, vendor: str) -> DataFrame:
+    return sources.withColumns({"vendor": F.lit(vendor), "vendor_evidence": F.lit(override_evidence(vendor))})
+
+
+def backfill_evidence(sources: DataFrame, first_pages: DataFrame) -> DataFrame:
+    """Fills in missing evidence where detection agrees with the pinned
+    vendor; nothing else changes."""
+    joined = sources.join(first_pages.select("content_hash", F.col("text").alias("_text")), "content_hash", "left")
+    found = vendor_of(F.col("_text"), F.regexp_extract("path", r"([^/\\]*)$", 1))
+    missing = (F.coalesce("vendor_evidence", F.lit("")) == "") & (found["vendor"] == F.col("vendor"))
+    return joined.withColumn("vendor_evidence", F.when(missing, found["evidence"]).otherwise(F.col("vendor_evidence"))).select(*sources.columns)
+
+
+def refresh_by_path(inventory: DataFrame, current: DataFrame) -> DataFrame:
+    """inventory with the rows of files whose bytes have changed replaced by
+    their current registration; rows of other files stay."""
+    key = ["part_number", "path"]
+    changed = current.join(inventory.select(*key).distinct(), key, "left_semi").join(inventory.select(*key, "content_hash"), [*key, "content_hash"], "left_anti")
+    return inventory.join(changed.select(*key), key, "left_anti").unionByName(changed.select(*inventory.columns))
+
+
+def shown_reasons(reasons: Column, shown: int = 3) -> Column:
+    """The first reasons, and a sign that there are more."""
+    text = F.array_join(F.slice(reasons, 1, shown), "; ")
+    return F.when(F.size(reasons) > shown, F.concat(text, F.lit("; …"))).otherwise(text)

@@ -11,20 +11,24 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from sheetloom.functions import text as tx
 from sheetloom.operators import index as ix
 from sheetloom.operators.figures import plot_records
 from sheetloom.operators.furniture import kept_lines
+from sheetloom.operators.inventory import shown_reasons, skip_reason
 from sheetloom.operators.layout import extract_layout
 from sheetloom.operators.plain import plain_sections
 from sheetloom.operators.tables import grid_csv, key_symbols, spec_records, spec_tables
 from sheetloom.runtime import staged
-from sheetloom.sources.writers import write_table, write_text_files
+from sheetloom.sources.cache import ExtractionCache
+from sheetloom.sources.readers import backend, register_backend
+from sheetloom.sources.writers import EventLog, write_table, write_text_files
 
 PIPELINE_VERSION = "1"
 OUTPUT_VERSION = {"pdf_layout": "layout-1", "pdf_text": "text-1"}
-TABLES = ("sections", "section_files", "specs", "spec_tables", "plots", "stats", "index")
+TABLES = ("documents", "sections", "section_files", "specs", "spec_tables", "plots", "stats", "index")
 
 
 @dataclass
@@ -39,15 +43,60 @@ class Documents:
     pages: DataFrame
 
 
-def extract(docs: Documents) -> DataFrame:
+def _layout(docs: Documents, hashes: DataFrame) -> DataFrame:
+    return extract_layout(*[d.join(hashes, "doc_hash", "left_semi") for d in (docs.page_spans, docs.page_drawings, docs.toc)])
+
+
+def _plain(docs: Documents, hashes: DataFrame) -> DataFrame:
+    return plain_sections(docs.pages.join(hashes, "doc_hash", "left_semi"), docs.toc.join(hashes, "doc_hash", "left_semi"))
+
+
+register_backend("pdf_layout", _layout)
+register_backend("pdf_text", _plain)
+
+
+def extract(docs: Documents, cache: ExtractionCache | None = None) -> DataFrame:
     """Sections of all documents: datasheets by layout, the others from their
-    page texts, all with part, type and backend."""
+    page texts, all with part, type and backend. With a cache only documents
+    that it lacks for today's version of their backend are extracted."""
     kinds = docs.sources.select("part_number", F.col("content_hash").alias("doc_hash"), "doc_type", F.coalesce(F.when(F.col("revision") != "", F.col("revision")), F.col("path")).alias("label"))
-    sheets = kinds.where("doc_type = 'datasheet'").select("doc_hash")
-    rest = kinds.where("doc_type <> 'datasheet'").select("doc_hash")
-    by_layout = extract_layout(*[d.join(sheets, "doc_hash", "left_semi") for d in (docs.page_spans, docs.page_drawings, docs.toc)]).withColumn("backend", F.lit("pdf_layout"))
-    plain = plain_sections(docs.pages.join(rest, "doc_hash", "left_semi"), docs.toc.join(rest, "doc_hash", "left_semi")).withColumn("backend", F.lit("pdf_text"))
-    return by_layout.unionByName(plain, allowMissingColumns=True).join(kinds, "doc_hash")
+    out = None
+    for name, condition in (("pdf_layout", "doc_type = 'datasheet'"), ("pdf_text", "doc_type <> 'datasheet'")):
+        wanted = kinds.where(condition).select("doc_hash").distinct()
+        cached, missing = (None, wanted) if cache is None else cache.lookup(wanted, name, OUTPUT_VERSION[name])
+        sections = staged(backend(name)(docs, missing), "sections")
+        if cache is not None:
+            # what failed is tried again next time
+            cache.store(sections.where("error is null") if "error" in sections.columns else sections, name, OUTPUT_VERSION[name])
+        if cached is not None:
+            sections = sections.unionByName(cached, allowMissingColumns=True)
+        sections = sections.withColumn("backend", F.lit(name))
+        out = sections if out is None else out.unionByName(sections, allowMissingColumns=True)
+    return out.join(kinds, "doc_hash")
+
+
+def ledger(extracted: DataFrame) -> DataFrame:
+    """One row per document: what built it, and how it went."""
+    stats = [F.max(c).alias(c) for c in ("tables_detected", "tables_accepted", "tables_rejected", "mean_fidelity", "error")]
+    reasons = shown_reasons(F.coalesce(F.first("rejection_reasons", ignorenulls=True), F.array().cast("array<string>"))).alias("rejection_reasons")
+    version = F.create_map(*[F.lit(x) for kv in OUTPUT_VERSION.items() for x in kv])[F.col("backend")]
+    rows = extracted.groupBy("part_number", F.col("doc_hash").alias("content_hash"), "backend").agg(*stats, reasons)
+    status = F.when(F.col("error").isNull(), "done").otherwise("failed")
+    return rows.withColumns({"status": status, "pipeline_version": F.lit(PIPELINE_VERSION), "extractor_version": version, "generated_at": F.current_timestamp()})
+
+
+def parts_to_build(spark: SparkSession, sources: DataFrame, out: str) -> DataFrame:
+    """(part_number, skip) of the parts of sources: a part is skipped if all
+    of its documents are published by today's versions. Without a readable
+    ledger nothing is."""
+    try:
+        published = spark.read.parquet(f"{out}/tables/documents").where("status = 'done'")
+    except AnalysisException:
+        return sources.select("part_number", F.lit(False).alias("skip")).distinct()
+    versions = spark.createDataFrame([(b, v, PIPELINE_VERSION) for b, v in OUTPUT_VERSION.items()], "backend string, output_version string, pipeline_version string")
+    jobs = sources.select(F.concat_ws("/", "part_number", "content_hash").alias("source_id"), "part_number", "content_hash")
+    skip = skip_reason(jobs, published, versions)
+    return jobs.join(skip, "source_id").groupBy("part_number").agg(F.min("skip").alias("skip"))
 
 
 def structure(sections: DataFrame) -> dict[str, DataFrame]:
@@ -97,27 +146,52 @@ def corpus_stats(tables: dict[str, DataFrame], extracted: DataFrame) -> DataFram
     return failed.join(s, "part_number", "left").join(n, "part_number", "left").withColumn("pipeline_version", F.lit(PIPELINE_VERSION))
 
 
-def build(spark: SparkSession, docs: Documents, out: str, budget: int = 3000, progress=lambda stage: None) -> DataFrame:
+def build(spark: SparkSession, docs: Documents, out: str, budget: int = 3000, progress=lambda stage: None, cache: ExtractionCache | None = None) -> DataFrame:
     """Builds and publishes the corpus of all documents below out. Tables are
     overwritten by part, so parts that aren't among the documents stay. A
     document that can't be read is counted in the stats and fails no other.
-    Returns the stats."""
+    The ledger is written last: a build that breaks off is built again.
+    Returns the stats of what was built."""
     progress("extracting")
-    extracted = staged(extract(docs), "extracted")
+    extracted = staged(extract(docs, cache), "extracted")
     progress("structuring")
     tables = structure(extracted)
     tables["section_files"] = staged(tables["section_files"], "files")
     progress("enriching")
     files = tables["section_files"].withColumns({"doc_dir": F.regexp_extract("dir", "/(.*)$", 1), "pos": F.struct("doc_hash", "sec_pos")})
-    briefs = ix.brief_and_facts(tables["sections"].withColumn("paragraphs", F.coalesce("paragraphs", F.array().cast("array<string>"))), ["part_number"])
+    briefs = ix.brief_and_facts(tables["sections"], ["part_number"])
     heads = ix.index_heads(briefs, docs.sources, "part_number")
-    tables["index"] = ix.index_markdown(files.select("part_number", "doc_dir", "pos", "number", "title", "file", "page_start", "page_end", "token_count", "n_tables", "n_figures", "description"), heads, "part_number", budget)
-    tables["stats"] = corpus_stats(tables, extracted)
+    meta = files.select("part_number", "doc_dir", "pos", "number", "title", "file", "page_start", "page_end", "token_count", "n_tables", "n_figures", "description")
+    tables["index"] = ix.index_markdown(meta, heads, "part_number", budget)
+    tables["stats"] = staged(corpus_stats(tables, extracted), "stats")
+    tables["documents"] = ledger(extracted)
     progress("publishing")
-    for name in TABLES:
-        write_table(tables[name], f"{out}/tables/{name}", ["part_number"])
     texts = tables["section_files"].select(F.concat("part_number", F.lit("/"), "file").alias("path"), F.col("markdown").alias("text"))
     index = tables["index"].select(F.concat("part_number", F.lit("/INDEX.md")).alias("path"), F.col("markdown").alias("text"))
-    # counted so that every file is written
+    # summed so that every file is written
     write_text_files(texts.unionByName(index).unionByName(tables["csvs"]), f"{out}/parts").agg(F.sum("bytes")).collect()
-    return spark.read.parquet(f"{out}/tables/stats")
+    for name in (*TABLES[1:], TABLES[0]):
+        write_table(tables[name], f"{out}/tables/{name}", ["part_number"])
+    return tables["stats"]
+
+
+def run_batch(spark: SparkSession, docs: Documents, out: str, log: EventLog, budget: int = 3000, force: bool = False, cache: ExtractionCache | None = None) -> DataFrame:
+    """(part_number, status, error) of every part: builds those that aren't
+    published by today's versions (all, if forced) and logs each part's way."""
+    gate = parts_to_build(spark, docs.sources, out)
+    gate = staged(gate.withColumn("skip", F.lit(False)) if force else gate, "gate")
+    jobs = {p: i for i, (p,) in enumerate(gate.select("part_number").orderBy("part_number").collect(), 1)}
+    log.total = len(jobs)
+    log.emit("header", jobs=[{"job": i, "part": p} for p, i in jobs.items()])
+    for (part,) in gate.where("skip").select("part_number").orderBy("part_number").toLocalIterator():
+        log.emit("skipped", jobs[part], part, "already built by these versions")
+    todo = gate.where("not skip").select("part_number")
+    result = gate.where("skip").select("part_number", F.lit("skipped").alias("status"), F.lit(None).cast("string").alias("error"))
+    if not todo.isEmpty():
+        wanted = Documents(docs.sources.join(todo, "part_number", "left_semi"), docs.page_spans, docs.page_drawings, docs.toc, docs.pages)
+        stats = build(spark, wanted, out, budget, lambda stage: log.emit(stage), cache)
+        built = stats.select("part_number", F.when(F.col("failed_documents") > 0, "failed").otherwise("done").alias("status"), "error")
+        for r in built.orderBy("part_number").toLocalIterator():
+            log.emit(r.status, jobs[r.part_number], r.part_number, r.error or "")
+        result = result.unionByName(built)
+    return result

@@ -69,6 +69,19 @@ def test_verification(folder, corpus, tmp_path, capsys):
     assert main(["verify", "--corpus", corpus, "--part", "P1", "--golden", str(golden)]) == 2
 
 
+def test_only_what_changed_is_built_again(spark, folder, corpus, capsys):
+    assert main(["build", str(folder), "--corpus", corpus]) == 1
+    out = capsys.readouterr().out
+    # the broken part is tried again, the good one isn't
+    assert "P1: skipped" in out and "P2: failed" in out and "0 done, 1 failed, 1 skipped" in out
+    ledger = {r.content_hash: r for r in spark.read.parquet(f"{corpus}/tables/documents").collect()}
+    assert (ledger["aaaaaaaa11"].status, ledger["aaaaaaaa11"].tables_accepted, ledger["cccccccc33"].status) == ("done", 1, "failed")
+    assert spark.read.parquet(f"{corpus}/cache/extract").select("doc_hash").distinct().count() == 2
+    assert main(["build", str(folder), "--corpus", corpus, "--force"]) == 1
+    assert "1 done, 1 failed, 0 skipped" in capsys.readouterr().out
+    assert spark.read.parquet(f"{corpus}/cache/extract").count() == 4
+
+
 def test_wrong_use(tmp_path):
     assert main(["build", str(tmp_path), "--corpus", str(tmp_path)]) == 2
     with pytest.raises(SystemExit) as e:

@@ -168,6 +168,56 @@ def caption_tags(spark, d):
     return read_table(spark, d, "documents").where("text is not null").select("doc_id", F.array_join(tx.caption_tags(F.col("text")), ",").alias("tags"))
 
 
+@query(r"""WITH b AS (SELECT source_id, path, regexp_replace(path, '\.[^.]+$', '') AS base FROM sources)
+SELECT source_id, array_to_string(list_concat([path], list_filter([base || '-high.gif', base || '.gif', base || '.png', base || '.jpg', base], x -> x <> path)), ' ') AS variants FROM b""")
+def image_variants(spark, d):
+    return read_table(spark, d, "sources").select("source_id", F.array_join(tx.image_variants(F.col("path")), " ").alias("variants"))
+
+
+@query(f"""SELECT source_id, doc_type || '-' || substr({r"regexp_replace(regexp_replace(lower(content_hash), '\s+', '', 'g'), '^[a-z0-9-]+:', '')"}, 1, 8) AS folder FROM sources""")
+def document_folders(spark, d):
+    return read_table(spark, d, "sources").select("source_id", tx.doc_dir_name(F.col("doc_type"), plain_hash(F.col("content_hash"))).alias("folder"))
+
+
+@query(r"""WITH t AS (SELECT doc_id, lower(text) AS t FROM documents WHERE text IS NOT NULL),
+n AS (SELECT doc_id, unnest(regexp_extract_all(t, '(\d+(?:\.\d+)?)\s*(mhz|ghz)', 1)) AS n, unnest(regexp_extract_all(t, '(\d+(?:\.\d+)?)\s*(mhz|ghz)', 2)) AS u FROM t),
+m AS (SELECT doc_id, count(DISTINCT CAST(n AS DOUBLE) * CASE u WHEN 'ghz' THEN 1000.0 ELSE 1.0 END) AS k FROM n GROUP BY doc_id)
+SELECT t.doc_id, coalesce(m.k, 0) + CAST(regexp_matches(t, '\btx\b') AS INTEGER) + CAST(regexp_matches(t, '\brx\b') AS INTEGER) + CAST(regexp_matches(t, '\bfb\b') AS INTEGER) + CAST(regexp_matches(t, '\bpll\b|\bclock\b') AS INTEGER) AS n_tags FROM t LEFT JOIN m USING (doc_id)""")
+def section_tags(spark, d):
+    return read_table(spark, d, "documents").where("text is not null").select("doc_id", F.size(tx.section_tags(F.col("text"))).cast("long").alias("n_tags"))
+
+
+@query("SELECT table_id, " + " OR ".join(f"contains(lower(conditions), '{h}')" for h in lx.CONDITION_HINTS) + " AS is_conditions FROM table_blocks")
+def condition_hints(spark, d):
+    return read_table(spark, d, "table_blocks").select("table_id", tx.looks_like_conditions(F.col("conditions")).alias("is_conditions"))
+
+
+@query(rf"""SELECT doc_hash, page, line_no, regexp_matches(text, '{lx.N_OF_M}') OR regexp_matches(text, '{lx.PAGE_OF}') OR regexp_matches(text, '{lx.BARE_REVISION}') OR (regexp_matches(text, '^\d+$') AND ltrim(text, '0') = CAST(page AS VARCHAR) AND (x < 80 OR y > 700)) AS machinery FROM document_lines""")
+def page_machinery(spark, d):
+    machinery = tx.is_placed_furniture(F.col("text"), F.col("page"), F.col("x"), F.col("y"))
+    return v.document_lines(spark, d).select("doc_hash", "page", "line_no", machinery.alias("machinery"))
+
+
+@query(rf"""WITH p AS (SELECT part_number, doc_hash, sec_pos, lower(trim(title)) AS t, unnest(paragraphs) AS p, generate_subscripts(paragraphs, 1) - 1 AS pos FROM unique_sections WHERE title IS NOT NULL),
+b AS (SELECT part_number, arg_min(p, {{'a': doc_hash, 'b': sec_pos, 'c': pos}}) AS brief FROM p WHERE p IS NOT NULL AND t IN ('description', 'general description') AND len(list_filter(regexp_split_to_array(p, '{_S}+'), w -> w <> '')) >= 8 GROUP BY part_number)
+SELECT DISTINCT s.part_number, coalesce(b.brief, '') AS brief FROM unique_sections s LEFT JOIN b USING (part_number)""")
+def part_briefs(spark, d):
+    s = v.unique_sections(spark, d, "part_number", "title", "paragraphs")
+    return ix.brief_and_facts(s, ["part_number"]).select("part_number", "brief")
+
+
+@query("""WITH d AS (SELECT coalesce(source, '') AS doc_hash, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY doc_id) AS page, coalesce(text, '') AS text FROM documents)
+SELECT doc_hash, CAST(page - 1 AS INTEGER) AS sec_pos, 'Page ' || page AS title, page AS page_start FROM d""")
+def plain_sections(spark, d):
+    """Page texts without contents: one section per page."""
+    from sheetloom.operators.plain import plain_sections as plain
+
+    page = F.row_number().over(Window.partitionBy("doc_hash").orderBy("doc_id"))
+    pages = read_table(spark, d, "documents").select(F.coalesce("source", F.lit("")).alias("doc_hash"), "doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("page", page)
+    toc = spark.createDataFrame([], "doc_hash string, pos int, number string, title string, level int, page int")
+    return plain(pages.select("doc_hash", "page", "text"), toc).select("doc_hash", "sec_pos", "title", "page_start")
+
+
 # --- furniture -----------------------------------------------------------------------------------------------------------------
 
 _BOILER = " OR ".join(rf"regexp_matches({_strip('line')}, '{p}')" for p in lx.BOILERPLATE_PATTERNS)
@@ -494,12 +544,20 @@ def lookup_economics(spark, d):
     return vf.lookup_economics(_verified(spark, d), v.placed_plans(spark, d), v.questions(spark, d), 2500)
 
 
-@query()
+@query(f"""WITH {_SPECS}, a AS (SELECT question_id, doc_hash, pages, unnest(CASE WHEN len(coalesce(expected_substrings, [])) = 0 THEN [NULL] ELSE expected_substrings END) AS sub,
+  lower(coalesce(spec_query['symbol'], '')) AS qs, lower(coalesce(spec_query['name'], '')) AS qn, lower(coalesce(spec_query['section'], '')) AS qx FROM golden_questions WHERE spec_query IS NOT NULL),
+r AS (SELECT doc_hash, page, lower(symbol) AS s, lower(name) AS n, lower(coalesce(section, '')) AS x, concat_ws(' ', symbol, name, conditions, table_conditions, "min", typ, "max", value, unit) AS t FROM specs),
+m AS (SELECT a.question_id, a.sub, bool_or(r.doc_hash IS NOT NULL AND (a.sub IS NULL OR {_contains('r.t', 'a.sub')})) AS ok FROM a
+  LEFT JOIN r ON r.doc_hash = a.doc_hash AND list_contains(a.pages, r.page) AND contains(r.s, a.qs) AND contains(r.n, a.qn) AND contains(r.x, a.qx) GROUP BY ALL)
+SELECT question_id, bool_and(coalesce(ok, false)) AS passed FROM m GROUP BY question_id""")
 def verify_specs(spark, d):
     return vf.verify_specs(v.questions(spark, d), tb.spec_records(read_table(spark, d, "table_blocks")))
 
 
-@query()
+@query(f"""WITH {_FIGURES}, a AS (SELECT question_id, doc_hash, pages, lower(coalesce(plot_query['caption_contains'], '')) AS qc, lower(coalesce(plot_query['conditions_contain'], '')) AS qd, coalesce(plot_query['section'], '') AS qx
+  FROM golden_questions WHERE plot_query IS NOT NULL)
+SELECT a.question_id, bool_or(f.doc_hash IS NOT NULL) AS found FROM a LEFT JOIN figs f ON f.doc_hash = a.doc_hash AND contains(lower(f.caption), a.qc) AND contains(lower(f.conditions), a.qd)
+  AND (a.qx = '' OR a.qx = f.number) AND list_contains(a.pages, f.page) GROUP BY a.question_id""")
 def verify_plots(spark, d):
     return vf.verify_plots(v.questions(spark, d), fg.plot_records(v.figures(spark, d)))
 

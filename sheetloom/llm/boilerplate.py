@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetloom.runtime import BROADCAST_ROWS, hash128, shared_dir, sized, spread, staged
+from sheetloom.runtime import hash128, shared_dir, sized, spread, staged
 
 #: A line is boilerplate if it occurs in so many documents of one source.
 THRESHOLD = 8
@@ -56,12 +56,12 @@ def lines_of(sections: DataFrame, *keep: str) -> DataFrame:
     )
 
 
-def marked_lines(sections: DataFrame, crossed: DataFrame, *keep: str) -> DataFrame:
-    """The lines of sections that are in crossed, as (keep..., para_pos,
-    line_pos). A small set of crossed lines is broadcast (it is counted
-    first); a larger one is joined by shuffle, where adaptive execution splits
-    the partitions of hot lines."""
-    return lines_of(sections, *keep).join(sized(crossed.select(*LINE)), LINE, "left_semi").select(*keep, "para_pos", "line_pos")
+def marked_lines(lines: DataFrame, crossed: DataFrame, *keep: str) -> DataFrame:
+    """Those of lines (from lines_of) that are in crossed, as (keep...,
+    para_pos, line_pos). A small set of crossed lines is broadcast (it is
+    counted first); a larger one is joined by shuffle, where adaptive execution
+    splits the partitions of hot lines."""
+    return lines.join(sized(crossed.select(*LINE)), LINE, "left_semi").select(*keep, "para_pos", "line_pos")
 
 
 class LineCounts:
@@ -80,11 +80,14 @@ class LineCounts:
         self.crossed = spark.createDataFrame([], _CROSSED)
 
     def merge(self, sections: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Adds a partition of sections. Returns (newly crossed lines,
+        return self.merge_lines(lines_of(sections))
+
+    def merge_lines(self, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Adds a partition, given as its lines. Returns (newly crossed lines,
         documents of earlier partitions that hold one, as d1, d2). A document
         may come in several partitions and a row repeatedly: a document counts
         once per line."""
-        triples = lines_of(sections).select("vendor", "h1", "h2", "d1", "d2")
+        triples = lines.select("vendor", "h1", "h2", "d1", "d2")
         if self.batch:
             # what is known to be boilerplate needs no counting any more
             triples = triples.join(sized(self.crossed.select(*LINE)), LINE, "left_anti")
@@ -110,14 +113,14 @@ def repeated_lines(deltas: list[DataFrame], threshold: int = THRESHOLD, root: st
     store = LineCounts(deltas[0].sparkSession, root, threshold)
     found, seen = [], []
     for delta in map(spread, deltas):
-        newly, touched = store.merge(delta)
-        found.append(marked_lines(delta, store.crossed, "section_id"))
+        # the text is read and brought into compared form once; what is kept of a line is its place and hashes
+        lines = staged(lines_of(delta, "section_id"), "lines")
+        newly, touched = store.merge_lines(lines)
+        found.append(marked_lines(lines, store.crossed, "section_id"))
         if seen:
-            d1, d2 = hash128(F.col("doc_hash"))
-            earlier = reduce(DataFrame.unionByName, seen).withColumns({"d1": d1, "d2": d2})
-            rebuilt = earlier.join(sized(touched), ["d1", "d2"], "left_semi").drop("d1", "d2")
+            rebuilt = reduce(DataFrame.unionByName, seen).join(sized(touched), ["d1", "d2"], "left_semi")
             found.append(marked_lines(rebuilt, newly, "section_id"))
-        seen.append(delta)
+        seen.append(lines)
     return reduce(DataFrame.unionByName, found).distinct()
 
 
@@ -150,7 +153,7 @@ def without_lines(sections: DataFrame, crossed: DataFrame) -> DataFrame:
     together by one shuffle on the row id."""
     rows = sections.withColumn("_row", F.monotonically_increasing_id())
     rows = staged(rows, "rows")
-    hits = marked_lines(rows, crossed, "_row").groupBy("_row").agg(F.collect_set(F.struct("para_pos", "line_pos")).alias("_hits"))
+    hits = marked_lines(lines_of(rows, "_row"), crossed, "_row").groupBy("_row").agg(F.collect_set(F.struct("para_pos", "line_pos")).alias("_hits"))
     joined = rows.join(hits, "_row", "left").withColumn("_hits", F.coalesce("_hits", F.array().cast("array<struct<para_pos:int,line_pos:int>>")))
     cleaned = F.expr("""
         filter(transform(paragraphs, (p, i) -> if(p is null or not exists(_hits, h -> h.para_pos = i), p,
@@ -165,6 +168,3 @@ def cleaned_sections(sections: DataFrame, threshold: int = THRESHOLD) -> DataFra
     store = LineCounts(sections.sparkSession, threshold=threshold)
     store.merge(sections)
     return without_lines(sections, store.crossed)
-
-
-__all__ = ["BROADCAST_ROWS", "LineCounts", "cleaned_sections", "line_form", "lines_of", "marked_lines", "partitions_by_time", "repeated_lines", "without_lines"]

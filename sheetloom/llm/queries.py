@@ -98,5 +98,23 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": _P1_LINES + " SELECT DISTINCT section_id, para_pos, line_pos FROM n JOIN c USING (vendor, form)",
         "p2_found": "SELECT DISTINCT plan_id FROM section_plans WHERE (length(markdown) + 3) // 4 > 512",
         "p2_token_counts": "SELECT plan_id, CAST(ceil(max(length(markdown)) / 4.0) AS BIGINT) AS token_count FROM section_plans WHERE length(markdown) > 0 GROUP BY plan_id",
+        "p1_cleaned": _P1_LINES
+        + """,
+h AS (SELECT DISTINCT section_id, para_pos, line_pos FROM n JOIN c USING (vendor, form)),
+k AS (SELECT l.section_id, l.para_pos, string_agg(l.line, chr(10) ORDER BY l.line_pos) FILTER (WHERE h.line_pos IS NULL) AS kept, count(h.line_pos) AS hits
+      FROM l LEFT JOIN h ON h.section_id = l.section_id AND h.para_pos = l.para_pos AND h.line_pos = l.line_pos GROUP BY ALL),
+q AS (SELECT p.section_id, p.para_pos, CASE WHEN p.para IS NULL OR k.hits = 0 THEN p.para ELSE nullif(k.kept, '') END AS para, coalesce(k.hits, 0) AS hits FROM p
+      LEFT JOIN k ON k.section_id = p.section_id AND k.para_pos = p.para_pos),
+a AS (SELECT section_id, coalesce(list(para ORDER BY para_pos) FILTER (WHERE para IS NOT NULL OR hits = 0), []) AS paragraphs, CAST(sum(hits) AS INTEGER) AS removed FROM q GROUP BY section_id)
+SELECT s.section_id, CASE WHEN s.paragraphs IS NULL THEN NULL ELSE coalesce(a.paragraphs, []) END AS paragraphs, coalesce(a.removed, 0) AS boilerplate_removed FROM sections s LEFT JOIN a USING (section_id)""",
+        "p8_found": r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM t),
+g AS (SELECT doc_id, i, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o || ' ' || lead(w, 4) OVER o || ' ' || lead(w, 5) OVER o AS g
+      FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+f AS (SELECT doc_id, g, min(i) AS first FROM g WHERE g IS NOT NULL GROUP BY ALL),
+s AS (SELECT DISTINCT g.doc_id, g.i + o.o AS i FROM g JOIN f ON f.doc_id = g.doc_id AND f.g = g.g AND g.i > f.first, (SELECT unnest(range(6)) AS o) o),
+r AS (SELECT doc_id, count(*) AS r FROM s GROUP BY doc_id), n AS (SELECT doc_id, count(*) AS n FROM w GROUP BY doc_id)
+SELECT n.doc_id FROM n JOIN r USING (doc_id) WHERE r.r * 20 >= n.n * 7""",
         "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     }

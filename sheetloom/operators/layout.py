@@ -356,12 +356,12 @@ def entry_ranges(entries: list[Entry], n_pages: int) -> list[tuple[int, int] | N
 
 
 def extract_document(doc_hash: str, spans: pd.DataFrame, drawings: pd.DataFrame, toc: list[Entry]) -> Iterator[dict]:
-    """Rows of LAYOUT. Without an outline the printed contents count, without
+    """Rows of LAYOUT. Without an outline that has pages the printed contents count, without
     these each page is a section. A page belongs to its deepest sections, a
     table and a figure to the first section that has its page."""
     n_pages = int(max([0, *spans.page, *drawings.page]))
     pages = read_pages(spans, drawings, n_pages)
-    ladder, entries = ("outline", toc) if toc else ("printed_toc", printed_toc(pages))
+    ladder, entries = ("outline", toc) if any(e.page is not None for e in toc) else ("printed_toc", printed_toc(pages))
     if not entries:
         ladder = "per_page"
     mark_furniture(pages)

@@ -13,9 +13,11 @@ def plain_sections(pages: DataFrame, toc: DataFrame) -> DataFrame:
     """(doc_hash, sec_pos, number, title, level, page_start, page_end,
     paragraphs) from pages(doc_hash, page, text) and toc(doc_hash, pos, number,
     title, level, page). A section's paragraphs are the lines of its pages; a
-    document without any entry has one section per page."""
+    document without any entry that has a page has one section per page, a
+    document without pages no section."""
     lines = pages.select("doc_hash", "page", page_paragraphs(F.coalesce("text", F.lit("")), F.col("page")).alias("lines"))
     last = pages.groupBy("doc_hash").agg(F.max("page").alias("last_page"))
+    toc = toc.where("page is not null").join(last.select("doc_hash"), "doc_hash", "left_semi")
     ranges = ranges_to_document_end(toc, last)
     placed = pages_of(ranges).select("doc_hash", "pos", "page").join(lines, ["doc_hash", "page"])
     ordered = F.array_sort(F.collect_list(F.struct("page", "lines")))

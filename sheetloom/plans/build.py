@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from sheetloom.functions import lexicons as lx
 from sheetloom.functions import text as tx
 from sheetloom.operators import index as ix
 from sheetloom.operators.figures import plot_records
@@ -28,6 +29,8 @@ from sheetloom.sources.writers import EventLog, write_table, write_text_files
 
 PIPELINE_VERSION = "1"
 OUTPUT_VERSION = {"pdf_layout": "layout-1", "pdf_text": "text-1"}
+#: The error of a document without any section.
+NO_PAGES = "no decoded pages"
 TABLES = ("documents", "sections", "section_files", "specs", "spec_tables", "plots", "stats", "index")
 
 
@@ -56,13 +59,15 @@ register_backend("pdf_text", _plain)
 
 
 def extract(docs: Documents, cache: ExtractionCache | None = None) -> DataFrame:
-    """Sections of all documents: datasheets by layout, the others from their
-    page texts, all with part, type and backend. With a cache only documents
-    that it lacks for today's version of their backend are extracted."""
-    kinds = docs.sources.select("part_number", F.col("content_hash").alias("doc_hash"), "doc_type", F.coalesce(F.when(F.col("revision") != "", F.col("revision")), F.col("path")).alias("label"))
+    """Sections of all documents: datasheets by layout, the others (also those
+    of unknown type) from their page texts, all with part, type and backend. A
+    document that brings no section is one row with an error. With a cache only
+    documents that it lacks for today's version of their backend are extracted."""
+    kinds = docs.sources.select("part_number", F.col("content_hash").alias("doc_hash"), F.coalesce("doc_type", F.lit(lx.UNKNOWN_DOC_TYPE)).alias("doc_type"), F.coalesce(F.when(F.col("revision") != "", F.col("revision")), F.col("path")).alias("label"))
+    kinds = kinds.withColumn("backend", F.when(F.col("doc_type") == "datasheet", "pdf_layout").otherwise("pdf_text"))
     out = None
-    for name, condition in (("pdf_layout", "doc_type = 'datasheet'"), ("pdf_text", "doc_type <> 'datasheet'")):
-        wanted = kinds.where(condition).select("doc_hash").distinct()
+    for name in OUTPUT_VERSION:
+        wanted = kinds.where(F.col("backend") == name).select("doc_hash").distinct()
         cached, missing = (None, wanted) if cache is None else cache.lookup(wanted, name, OUTPUT_VERSION[name])
         sections = staged(backend(name)(docs, missing), "sections")
         if cache is not None:
@@ -72,7 +77,9 @@ def extract(docs: Documents, cache: ExtractionCache | None = None) -> DataFrame:
             sections = sections.unionByName(cached, allowMissingColumns=True)
         sections = sections.withColumn("backend", F.lit(name))
         out = sections if out is None else out.unionByName(sections, allowMissingColumns=True)
-    return out.join(kinds, "doc_hash")
+    # a document of two types has the sections of each backend once
+    whole = kinds.join(out.withColumn("_found", F.lit(True)), ["doc_hash", "backend"], "left")
+    return whole.withColumn("error", F.when(F.col("_found").isNull(), NO_PAGES).otherwise(F.col("error"))).drop("_found")
 
 
 def ledger(extracted: DataFrame) -> DataFrame:
@@ -142,7 +149,7 @@ def corpus_stats(tables: dict[str, DataFrame], extracted: DataFrame) -> DataFram
         F.count("page_start").alias("sections_with_pages"), F.count_if(F.col("page_start").isNull()).alias("sections_without_pages"), F.countDistinct("doc_hash").alias("n_documents"),
     )
     n = tables["specs"].groupBy("part_number").agg(F.count(F.lit(1)).alias("n_specs"))
-    failed = extracted.groupBy("part_number").agg(F.count_if(F.col("error").isNotNull()).alias("failed_documents"), F.max("error").alias("error"))
+    failed = extracted.groupBy("part_number").agg(F.countDistinct(F.when(F.col("error").isNotNull(), F.struct("doc_hash", "backend"))).alias("failed_documents"), F.max("error").alias("error"))
     return failed.join(s, "part_number", "left").join(n, "part_number", "left").withColumn("pipeline_version", F.lit(PIPELINE_VERSION))
 
 

@@ -82,6 +82,30 @@ def test_only_what_changed_is_built_again(spark, folder, corpus, capsys):
     assert spark.read.parquet(f"{corpus}/cache/extract").count() == 4
 
 
+def test_no_document_is_dropped(spark, folder, tmp_path, capsys):
+    root, out = tmp_path / "in", str(tmp_path / "out")
+    for name in ("page_spans", "page_drawings", "toc", "pages"):
+        df = spark.read.parquet(f"{folder}/{name}.parquet")
+        if name == "toc":  # an outline without pages, of a companion and of a datasheet; one without page texts
+            df = df.where("doc_hash <> 'aaaaaaaa11'").unionByName(spark.createDataFrame([("bbbbbbbb22", 0, "1", "Nowhere", 1, None), ("aaaaaaaa11", 0, "1", "Nowhere", 1, None), ("gggggggg77", 0, "1", "One", 1, 1)], df.schema))
+        if name == "pages":
+            df = df.unionByName(spark.createDataFrame([("dddddddd44", 1, "Typeless")], df.schema))
+        df.write.parquet(f"{root}/{name}.parquet")
+    rows = [("P1", "aaaaaaaa11", "datasheet"), ("P1", "bbbbbbbb22", "errata"), ("P3", "dddddddd44", None), ("P3", "eeeeeeee55", "datasheet"), ("P4", "ffffffff66", "errata"), ("P4", "gggggggg77", "errata")]
+    spark.createDataFrame([(p, h, t, "", "x.pdf", None) for p, h, t in rows], "part_number string, content_hash string, doc_type string, revision string, path string, page_count int").write.parquet(f"{root}/sources.parquet")
+    assert main(["build", str(root), "--corpus", out]) == 1
+    assert "1 done, 2 failed, 0 skipped" in capsys.readouterr().out
+    ledger = {r.content_hash: (r.status, r.error) for r in spark.read.parquet(f"{out}/tables/documents").collect()}
+    done, failed = ("done", None), ("failed", "no decoded pages")
+    assert ledger == {"aaaaaaaa11": done, "bbbbbbbb22": done, "dddddddd44": done, "eeeeeeee55": failed, "ffffffff66": failed, "gggggggg77": failed}
+    stats = {r.part_number: (r.n_documents, r.failed_documents) for r in spark.read.parquet(f"{out}/tables/stats").collect()}
+    assert stats == {"P1": (2, 0), "P3": (1, 1), "P4": (None, 2)}
+    titles = [(r.doc_hash, r.title) for r in spark.read.parquet(f"{out}/tables/sections").orderBy("doc_hash", "sec_pos").collect()]
+    assert titles == [(h, f"Page {n}") for h, n in (("aaaaaaaa11", 1), ("aaaaaaaa11", 2), ("bbbbbbbb22", 1), ("bbbbbbbb22", 2), ("dddddddd44", 1))]
+    index = open(f"{out}/parts/P3/INDEX.md", encoding="utf-8").read()
+    assert "- `unknown`  — ? pages — `docs/unknown-dddddddd/`" in index and "`docs/datasheet-eeeeeeee/`" in index
+
+
 def test_wrong_use(tmp_path):
     assert main(["build", str(tmp_path), "--corpus", str(tmp_path)]) == 2
     with pytest.raises(SystemExit) as e:

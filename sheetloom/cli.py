@@ -50,7 +50,8 @@ def _build(a) -> int:
     if missing:
         print(f"no such tables below {a.input}: {', '.join(missing)}", file=sys.stderr)
         return 2
-    docs = Documents(*[spark.read.parquet(f"{a.input}/{n}.parquet") for n in names])
+    given = [*names, *[n for n in ("contents", "viewer_pages") if os.path.exists(f"{a.input}/{n}.parquet")]]
+    docs = Documents(**{n: spark.read.parquet(f"{a.input}/{n}.parquet") for n in given})
     cache = None if a.no_cache else ExtractionCache(spark, f"{a.corpus}/cache/extract")
     log = EventLog(log_path(f"{a.corpus}/cache", a.input, datetime.now(timezone.utc)), 0)
     counts = status_counts(run_batch(spark, docs, a.corpus, log, a.budget, a.force, cache), []).first()
@@ -135,7 +136,7 @@ def main(argv: list[str] | None = None) -> int:
         return p
 
     b = command("build", _build, "build a corpus from decoded documents")
-    b.add_argument("input", help="folder of sources, page_spans, page_drawings, toc and pages as Parquet")
+    b.add_argument("input", help="folder of sources, page_spans, page_drawings, toc and pages, with viewer pages also contents and viewer_pages, as Parquet")
     b.add_argument("--budget", type=int, default=3000)
     b.add_argument("--force", action="store_true", help="build parts that are up to date too")
     b.add_argument("--no-cache", action="store_true", help="extract documents again")

@@ -161,20 +161,25 @@ def section_of(html: Column, url: Column, number: Column, title: Column) -> Colu
 SECTION_TYPE = re.sub(r"(^|, )(\w+) (?=\w)", r"\1\2:", SECTION).replace(", ", ",")
 
 
-def extract_sections(toc: DataFrame, cache: DataFrame) -> DataFrame:
+def extract_sections(toc: DataFrame, cache: DataFrame, strict: bool = True) -> DataFrame:
     """Each entry of a table of contents with its parsed page from cache(url,
     html); an entry whose page isn't there fails the job (nothing is fetched
-    behind the caller's back)."""
+    behind the caller's back) or, if not strict, is an empty section with an
+    error."""
     joined = toc.join(cache.select("url", "html"), "url", "left")
-    page = F.coalesce("html", F.raise_error(F.concat(F.lit("no cached page for "), F.col("url"))).cast("string"))
-    return joined.withColumn("section", section_of(page, F.col("url"), F.col("number"), F.col("title"))).drop("html")
+    missing = F.concat(F.lit("no cached page for "), F.col("url"))
+    page = F.coalesce("html", F.raise_error(missing).cast("string")) if strict else F.col("html")
+    parsed = joined.withColumn("section", section_of(page, F.col("url"), F.col("number"), F.col("title")))
+    if not strict:
+        parsed = parsed.withColumn("section", F.col("section").withField("error", F.when(F.col("html").isNull(), missing).otherwise(F.col("section.error"))))
+    return parsed.drop("html")
 
 
-def viewer_sections(contents: DataFrame, cache: DataFrame, outline: DataFrame) -> DataFrame:
+def viewer_sections(contents: DataFrame, cache: DataFrame, outline: DataFrame, strict: bool = True) -> DataFrame:
     """The whole viewer path: contents pages (doc_hash, html) -> entries ->
     cached section pages -> sections with page ranges from the printed outline
     (doc_hash, pos, number, title, level, page)."""
-    parsed = extract_sections(parse_toc(contents, "doc_hash"), cache)
+    parsed = extract_sections(parse_toc(contents, "doc_hash"), cache, strict)
     sections = parsed.select("doc_hash", F.col("pos").alias("sec_pos"), "section.number", "section.title", "section.level", "section.paragraphs", "section.tables", "section.figures", "section.error")
     placed = assign_pages(sections.select("doc_hash", "sec_pos", "number", "title", "level"), outline).select("doc_hash", "sec_pos", "method", "page_start", "page_end")
     return sections.join(placed, ["doc_hash", "sec_pos"], "left")

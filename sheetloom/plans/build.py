@@ -18,32 +18,38 @@ from sheetloom.functions import text as tx
 from sheetloom.operators import index as ix
 from sheetloom.operators.figures import plot_records
 from sheetloom.operators.furniture import kept_lines
-from sheetloom.operators.inventory import shown_reasons, skip_reason
+from sheetloom.operators.html import viewer_sections
+from sheetloom.operators.inventory import backend_of, shown_reasons, skip_reason
 from sheetloom.operators.layout import extract_layout
+from sheetloom.operators.pages import pin_table_pages
 from sheetloom.operators.plain import plain_sections
 from sheetloom.operators.tables import grid_csv, key_symbols, spec_records, spec_tables
 from sheetloom.runtime import staged
 from sheetloom.sources.cache import ExtractionCache
-from sheetloom.sources.readers import backend, register_backend
+from sheetloom.sources.readers import backend, backends, register_backend
 from sheetloom.sources.writers import EventLog, write_table, write_text_files
 
-PIPELINE_VERSION = "1"
-OUTPUT_VERSION = {"pdf_layout": "layout-1", "pdf_text": "text-1"}
+PIPELINE_VERSION = "2"
+OUTPUT_VERSION = {"pdf_layout": "layout-1", "pdf_text": "text-1", "ti_html": "viewer-1"}
 #: The error of a document without any section.
-NO_PAGES = "no decoded pages"
+NO_PAGES, NO_BACKEND = "no decoded pages", "no backend for the vendor"
 TABLES = ("documents", "sections", "section_files", "specs", "spec_tables", "plots", "stats", "index")
 
 
 @dataclass
 class Documents:
     """Decoded input: sources(part_number, content_hash, doc_type, revision,
-    path, page_count), and spans, drawings, toc and page texts by doc_hash."""
+    path, page_count[, vendor]), and spans, drawings, toc and page texts by
+    doc_hash. Of documents that a viewer serves, contents(doc_hash, html) and
+    viewer_pages(url, html)."""
 
     sources: DataFrame
     page_spans: DataFrame
     page_drawings: DataFrame
     toc: DataFrame
     pages: DataFrame
+    contents: DataFrame | None = None
+    viewer_pages: DataFrame | None = None
 
 
 def _layout(docs: Documents, hashes: DataFrame) -> DataFrame:
@@ -54,17 +60,50 @@ def _plain(docs: Documents, hashes: DataFrame) -> DataFrame:
     return plain_sections(docs.pages.join(hashes, "doc_hash", "left_semi"), docs.toc.join(hashes, "doc_hash", "left_semi"))
 
 
+def _viewer(docs: Documents, hashes: DataFrame) -> DataFrame:
+    """Pages that weren't fetched or can't be parsed are empty sections with an
+    error. Tables and figures get the fields of the other backends'."""
+    spark = hashes.sparkSession
+    contents = spark.createDataFrame([], "doc_hash string, html string") if docs.contents is None else docs.contents
+    cached = spark.createDataFrame([], "url string, html string") if docs.viewer_pages is None else docs.viewer_pages
+    sections = viewer_sections(contents.join(hashes, "doc_hash", "left_semi"), cached.where("html is not null").dropDuplicates(["url"]), docs.toc.join(hashes, "doc_hash", "left_semi"), strict=False)
+    tables = F.transform("tables", lambda t: t.withField("page", F.lit(None).cast("int")).withField("row_pages", F.lit(None).cast("array<int>")))
+    return sections.withColumn("tables", tables).drop("method")
+
+
 register_backend("pdf_layout", _layout)
 register_backend("pdf_text", _plain)
+register_backend("ti_html", _viewer)
+
+
+def _routed(docs: Documents) -> DataFrame:
+    """sources with the backend of their vendor's chain. The viewer backend is
+    there only for documents with a contents page; sources without vendor are
+    the default's, those of a vendor without profile have no backend."""
+    sources = docs.sources if "vendor" in docs.sources.columns else docs.sources.withColumn("vendor", F.lit(lx.DEFAULT_VENDOR))
+    vendor, kind = F.coalesce("vendor", F.lit(lx.DEFAULT_VENDOR)), F.coalesce("doc_type", F.lit(lx.UNKNOWN_DOC_TYPE))
+    pdf = backend_of(vendor, kind, [b for b in backends() if b != "ti_html"])
+    if docs.contents is None:
+        return sources.withColumn("backend", pdf)
+    served = docs.contents.where("html is not null").select(F.col("doc_hash").alias("content_hash")).distinct().withColumn("_served", F.lit(True))
+    joined = sources.join(served, "content_hash", "left")
+    return joined.withColumn("backend", F.when(F.col("_served"), backend_of(vendor, kind, backends())).otherwise(pdf)).drop("_served")
+
+
+def _figure(sections: DataFrame):
+    """The figures of all backends with the same fields."""
+    held = sections.schema["figures"].dataType.elementType.names
+    field = lambda f, name, type_: (f[name] if name in held else F.lit("" if type_ == "string" else None)).cast(type_).alias(name)
+    return lambda f: F.struct(*[field(f, n, t) for n, t in (("caption", "string"), ("page", "int"), ("conditions", "string"), ("image_url", "string"))])
 
 
 def extract(docs: Documents, cache: ExtractionCache | None = None) -> DataFrame:
-    """Sections of all documents: datasheets by layout, the others (also those
-    of unknown type) from their page texts, all with part, type and backend. A
-    document that brings no section is one row with an error. With a cache only
-    documents that it lacks for today's version of their backend are extracted."""
-    kinds = docs.sources.select("part_number", F.col("content_hash").alias("doc_hash"), F.coalesce("doc_type", F.lit(lx.UNKNOWN_DOC_TYPE)).alias("doc_type"), F.coalesce(F.when(F.col("revision") != "", F.col("revision")), F.col("path")).alias("label"))
-    kinds = kinds.withColumn("backend", F.when(F.col("doc_type") == "datasheet", "pdf_layout").otherwise("pdf_text"))
+    """Sections of all documents: datasheets by the backend of their vendor, the
+    others (also those of unknown type) from their page texts, all with part,
+    type and backend. A document that brings no section is one row with an
+    error. With a cache only documents that it lacks for today's version of
+    their backend are extracted."""
+    kinds = _routed(docs).select("part_number", F.col("content_hash").alias("doc_hash"), F.coalesce("doc_type", F.lit(lx.UNKNOWN_DOC_TYPE)).alias("doc_type"), F.coalesce(F.when(F.col("revision") != "", F.col("revision")), F.col("path")).alias("label"), "backend")
     out = None
     for name in OUTPUT_VERSION:
         wanted = kinds.where(F.col("backend") == name).select("doc_hash").distinct()
@@ -72,14 +111,18 @@ def extract(docs: Documents, cache: ExtractionCache | None = None) -> DataFrame:
         sections = staged(backend(name)(docs, missing), "sections")
         if cache is not None:
             # what failed is tried again next time
-            cache.store(sections.where("error is null") if "error" in sections.columns else sections, name, OUTPUT_VERSION[name])
+            whole = sections.join(sections.where("error is not null").select("doc_hash").distinct(), "doc_hash", "left_anti") if "error" in sections.columns else sections
+            cache.store(whole, name, OUTPUT_VERSION[name])
         if cached is not None:
             sections = sections.unionByName(cached, allowMissingColumns=True)
+        if "figures" in sections.columns:
+            sections = sections.withColumn("figures", F.transform("figures", _figure(sections)))
         sections = sections.withColumn("backend", F.lit(name))
         out = sections if out is None else out.unionByName(sections, allowMissingColumns=True)
     # a document of two types has the sections of each backend once
-    whole = kinds.join(out.withColumn("_found", F.lit(True)), ["doc_hash", "backend"], "left")
-    return whole.withColumn("error", F.when(F.col("_found").isNull(), NO_PAGES).otherwise(F.col("error"))).drop("_found")
+    found = kinds.join(out.withColumn("_found", F.lit(True)), ["doc_hash", "backend"], "left")
+    none = F.when(F.col("backend").isNull(), NO_BACKEND).otherwise(NO_PAGES)
+    return found.withColumn("error", F.when(F.col("_found").isNull(), none).otherwise(F.col("error"))).drop("_found")
 
 
 def ledger(extracted: DataFrame) -> DataFrame:
@@ -106,11 +149,27 @@ def parts_to_build(spark: SparkSession, sources: DataFrame, out: str) -> DataFra
     return jobs.join(skip, "source_id").groupBy("part_number").agg(F.min("skip").alias("skip"))
 
 
-def structure(sections: DataFrame) -> dict[str, DataFrame]:
-    """The derived tables of extracted sections."""
-    good = sections.where("error is null")
+def with_table_pages(sections: DataFrame, pages: DataFrame) -> DataFrame:
+    """sections whose tables carry the page where their cells stand in the page
+    texts; a table that isn't found keeps its page."""
+    key = ["doc_hash", "backend", "sec_pos"]
+    # a document of several parts is pinned once
+    held = sections.where("size(tables) > 0").select(*key, F.concat_ws("/", "backend", "sec_pos").alias("section"), "page_start", "page_end", "tables").dropDuplicates(key)
+    tables = held.select("doc_hash", "section", F.posexplode("tables").alias("i", "t")).select(F.struct("doc_hash", "section", "i").alias("table_id"), "doc_hash", "section", "t.grid")
+    pinned = pin_table_pages(tables, held.select("doc_hash", "section", "page_start", "page_end"), pages)
+    found = pinned.groupBy("table_id.doc_hash", "table_id.section").agg(F.map_from_entries(F.collect_list(F.struct("table_id.i", F.col("page").cast("int")))).alias("_pins"))
+    found = staged(found, "pins")
+    joined = sections.withColumn("section", F.concat_ws("/", "backend", "sec_pos")).join(found, ["doc_hash", "section"], "left")
+    return joined.withColumn("tables", F.transform("tables", lambda t, i: t.withField("page", F.coalesce(F.col("_pins")[i], t["page"])))).drop("_pins", "section")
+
+
+def structure(sections: DataFrame, pages: DataFrame) -> dict[str, DataFrame]:
+    """The derived tables of extracted sections. A section with an error is
+    an empty one; a document that couldn't be read has none."""
+    good = sections.where("sec_pos is not null")
     # page texts bring no tables and figures
     good = good.withColumns({c: F.coalesce(c, F.array().cast(good.schema[c].dataType)) for c in ("tables", "figures", "paragraphs")})
+    good = with_table_pages(good, pages)
     clean = kept_lines(F.col("paragraphs"))
     good = good.withColumns({"paragraphs_clean": clean, "stem": tx.section_stem(F.col("number"), F.col("title")), "dir": F.concat(F.lit("docs/"), tx.doc_dir_name(F.col("doc_type"), F.col("doc_hash")))})
     # keys carry the position: sections of one stem stay apart
@@ -119,10 +178,10 @@ def structure(sections: DataFrame) -> dict[str, DataFrame]:
     tables = tables.select("part_number", "doc_hash", "sec_pos", "section", "table_index", "dir", "stem", F.concat_ws("/", "doc_hash", "sec_pos", "table_index").alias("table_id"), "t.*", F.col("page_start").alias("_start"))
     tables = tables.withColumn("page", F.coalesce("page", "_start"))
     figures = good.where("size(figures) > 0").select("part_number", "doc_hash", "sec_pos", "number", "title", "page_start", "page_end", F.posexplode("figures").alias("fig_pos", "f"))
-    figures = figures.select("doc_hash", "sec_pos", "number", "title", "fig_pos", "f.caption", F.lit("").alias("conditions"), "page_start", "page_end", F.lit("").alias("image_url"))
+    figures = figures.select("doc_hash", "sec_pos", "number", "title", "fig_pos", "f.caption", "f.conditions", "page_start", "page_end", "f.image_url")
     parts = good.select("part_number", "doc_hash").distinct()
     numbered = F.transform("tables", lambda t, i: t.withField("csv_file", F.concat(F.lit("tables/"), F.col("stem"), F.format_string("-t%02d.csv", i + 1))))
-    figs = F.transform("figures", lambda f: F.struct(f["caption"].alias("caption"), F.lit("").alias("conditions"), f["page"].alias("page")))
+    figs = F.transform("figures", lambda f: F.struct(f["caption"].alias("caption"), f["conditions"].alias("conditions"), f["page"].alias("page")))
     rendered = good.withColumns({"paragraphs": F.col("paragraphs_clean"), "tables": numbered, "figures": figs})
     files = rendered.select(
         "part_number", "doc_hash", "sec_pos", "number", "title", "page_start", "page_end", "dir", "stem", "backend", ix.section_markdown(F.col("label")).alias("markdown"),
@@ -162,7 +221,7 @@ def build(spark: SparkSession, docs: Documents, out: str, budget: int = 3000, pr
     progress("extracting")
     extracted = staged(extract(docs, cache), "extracted")
     progress("structuring")
-    tables = structure(extracted)
+    tables = structure(extracted, docs.pages)
     tables["section_files"] = staged(tables["section_files"], "files")
     progress("enriching")
     files = tables["section_files"].withColumns({"doc_dir": F.regexp_extract("dir", "/(.*)$", 1), "pos": F.struct("doc_hash", "sec_pos")})
@@ -195,7 +254,7 @@ def run_batch(spark: SparkSession, docs: Documents, out: str, log: EventLog, bud
     todo = gate.where("not skip").select("part_number")
     result = gate.where("skip").select("part_number", F.lit("skipped").alias("status"), F.lit(None).cast("string").alias("error"))
     if not todo.isEmpty():
-        wanted = Documents(docs.sources.join(todo, "part_number", "left_semi"), docs.page_spans, docs.page_drawings, docs.toc, docs.pages)
+        wanted = Documents(docs.sources.join(todo, "part_number", "left_semi"), docs.page_spans, docs.page_drawings, docs.toc, docs.pages, docs.contents, docs.viewer_pages)
         stats = build(spark, wanted, out, budget, lambda stage: log.emit(stage), cache)
         built = stats.select("part_number", F.when(F.col("failed_documents") > 0, "failed").otherwise("done").alias("status"), "error")
         for r in built.orderBy("part_number").toLocalIterator():

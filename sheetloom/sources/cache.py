@@ -20,10 +20,10 @@ class ExtractionCache:
 
     def _read(self, backend: str, version: str) -> DataFrame | None:
         try:
-            all_ = self.spark.read.option("mergeSchema", False).parquet(self.path)
+            # the partition's own columns: backends differ in theirs
+            return self.spark.read.option("mergeSchema", False).parquet(f"{self.path}/cache_backend={backend}/cache_version={version}")
         except AnalysisException:
             return None
-        return all_.where((F.col("cache_backend") == backend) & (F.col("cache_version") == version))
 
     def lookup(self, documents: DataFrame, backend: str, version: str) -> tuple[DataFrame | None, DataFrame]:
         """(cached sections, documents without any) of documents(doc_hash)."""
@@ -31,7 +31,7 @@ class ExtractionCache:
         if held is None:
             return None, documents
         hashes = held.select("doc_hash").distinct()
-        cached = held.join(documents.select("doc_hash"), "doc_hash", "left_semi").drop("cache_backend", "cache_version")
+        cached = held.join(documents.select("doc_hash"), "doc_hash", "left_semi")
         return cached, documents.join(hashes, "doc_hash", "left_anti")
 
     def store(self, sections: DataFrame, backend: str, version: str) -> None:

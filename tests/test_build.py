@@ -2,6 +2,7 @@ import pandas as pd
 import pytest
 
 from sheetloom.cli import main
+from sheetloom.sources.cache import ExtractionCache
 from test_layout import Sheet, spec_table
 
 
@@ -106,6 +107,43 @@ def test_no_document_is_dropped(spark, folder, tmp_path, capsys):
     assert "- `unknown`  — ? pages — `docs/unknown-dddddddd/`" in index and "`docs/datasheet-eeeeeeee/`" in index
 
 
+def test_vendors_are_routed_and_tables_pinned(spark, folder, tmp_path, capsys):
+    root, out = tmp_path / "in", str(tmp_path / "out")
+    for name in ("page_spans", "page_drawings", "toc", "pages"):
+        df = spark.read.parquet(f"{folder}/{name}.parquet")
+        if name == "toc":
+            df = df.unionByName(spark.createDataFrame([("dddddddd44", 0, "4.1", "Limits", 1, 2), ("dddddddd44", 1, "5", "End", 1, 4)], df.schema))
+        if name == "pages":
+            df = df.unionByName(spark.createDataFrame([("dddddddd44", 2, "4.1 Limits"), ("dddddddd44", 3, "Supply 1.71 V and gain 20.5 dB")], df.schema))
+        df.write.parquet(f"{root}/{name}.parquet")
+    rows = [("P1", "aaaaaaaa11", "ti"), ("P2", "aaaaaaaa11", "adi"), ("P3", "dddddddd44", None), ("P4", "eeeeeeee55", "nobody")]
+    spark.createDataFrame([(p, h, "datasheet", "", "x.pdf", 4, v) for p, h, v in rows], "part_number string, content_hash string, doc_type string, revision string, path string, page_count int, vendor string").write.parquet(f"{root}/sources.parquet")
+    url = "//h/document-viewer/X/datasheet/GUID-"
+    spark.createDataFrame([("dddddddd44", f'<a id="4.1" data-navtitle="Limits" href="{url}1">x</a><a id="5" data-navtitle="End" href="{url}2">y</a>'), ("aaaaaaaa11", None)], "doc_hash string, html string").write.parquet(f"{root}/contents.parquet")
+    table = "<table><thead><tr><th>Parameter</th><th>Typ</th></tr></thead><tbody><tr><td>Supply 1.71 V</td><td>1.71</td></tr><tr><td>Gain</td><td>20.5 dB</td></tr></tbody></table>"
+    page = f'<div id="GUID-1"><h2>4.1 Limits</h2><p>Text</p>{table}<div class="graph"><img src="//h/f.png" alt="Figure 1. Gain"><div class="textnote">VDD = 5 V</div></div></div>'
+    spark.createDataFrame([("https:" + url + "1", page)], "url string, html string").write.parquet(f"{root}/viewer_pages.parquet")
+    for _ in range(2):  # the second time from the cache, but for what failed
+        assert main(["build", str(root), "--corpus", out, "--force"]) == 1
+        assert "2 done, 2 failed, 0 skipped" in capsys.readouterr().out
+        ledger = {(r.part_number, r.backend, r.error) for r in spark.read.parquet(f"{out}/tables/documents").collect()}
+        assert ledger == {("P1", "pdf_layout", None), ("P2", "pdf_layout", None), ("P3", "ti_html", f"no cached page for https:{url}2"), ("P4", None, "no backend for the vendor")}
+        one, two = spark.read.parquet(f"{out}/tables/sections").where("part_number = 'P3'").orderBy("sec_pos").collect()
+        assert (one.title, one.paragraphs, one.page_start, one.page_end, [t.page for t in one.tables]) == ("Limits", ["Text"], 2, 3, [3])
+        assert (two.title, two.paragraphs, two.page_start) == ("End", [], 4)
+        (plot,) = spark.read.parquet(f"{out}/tables/plots").where("part_number = 'P3'").collect()
+        assert (plot.caption, plot.conditions, plot.image_url) == ("Figure 1. Gain", "VDD = 5 V", "//h/f.png")
+        assert {r.page for r in spark.read.parquet(f"{out}/tables/specs").where("part_number = 'P3'").collect()} == {3}
+
+
+def test_cached_backends_keep_their_columns(spark, tmp_path):
+    cache = ExtractionCache(spark, str(tmp_path / "c"))
+    cache.store(spark.createDataFrame([("a",)], "doc_hash string"), "pdf_text", "1")
+    cache.store(spark.createDataFrame([("b", 7)], "doc_hash string, tables int"), "ti_html", "1")
+    cached, missing = cache.lookup(spark.createDataFrame([("a",), ("b",)], "doc_hash string"), "ti_html", "1")
+    assert [r.tables for r in cached.collect()] == [7] and [r.doc_hash for r in missing.collect()] == ["a"]
+
+
 def test_wrong_use(tmp_path):
     assert main(["build", str(tmp_path), "--corpus", str(tmp_path)]) == 2
     with pytest.raises(SystemExit) as e:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sheetloom.functions import lexicons as lx
 from sheetloom.functions.text import detect_doc_type, sniff_revision
+from sheetloom.operators.registrations import plain_hash
 
 
 def dedupe_first(sources: DataFrame, key: Column, order: list[str]) -> DataFrame:
@@ -50,9 +51,12 @@ def backend_of(vendor: Column, doc_type: Column, registered: list[str]) -> Colum
 
 def vendor_drift(sources: DataFrame, first_pages: DataFrame) -> DataFrame:
     """Datasheets whose pinned vendor isn't the detected one and wasn't set by
-    hand: (source_id, vendor, detected, evidence)."""
-    joined = sources.where("doc_type = 'datasheet' and not startswith(coalesce(vendor_evidence, ''), 'cli-override')").join(first_pages, "content_hash", "left")
-    seen = joined.withColumn("_v", vendor_of(F.col("text"), F.regexp_extract("path", r"([^/\\]*)$", 1)))
+    hand: (source_id, vendor, detected, evidence). Hashes of sources and of
+    first_pages(content_hash, text) may be written differently."""
+    pages = first_pages.groupBy(plain_hash(F.col("content_hash")).alias("_hash")).agg(F.array_join(F.sort_array(F.collect_set("text")), "\n").alias("_text"))
+    asked = sources.where("doc_type = 'datasheet' and not startswith(coalesce(vendor_evidence, ''), 'cli-override')")
+    joined = asked.withColumn("_hash", plain_hash(F.col("content_hash"))).join(pages, "_hash", "left")
+    seen = joined.withColumn("_v", vendor_of(F.col("_text"), F.regexp_extract("path", r"([^/\\]*)$", 1)))
     return seen.where(~F.col("vendor").eqNullSafe(F.col("_v.vendor"))).select("source_id", "vendor", F.col("_v.vendor").alias("detected"), "_v.evidence")
 
 

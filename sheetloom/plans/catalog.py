@@ -596,8 +596,8 @@ def backend_select(spark, d):
 
 @query("""SELECT source_id, vendor, 'ti' AS detected, '' AS evidence FROM sources WHERE doc_type = 'datasheet' AND NOT starts_with(coalesce(vendor_evidence, ''), 'cli-override') AND vendor IS DISTINCT FROM 'ti'""")
 def vendor_drift(spark, d):
-    no_pages = spark.createDataFrame([], "content_hash string, text string")
-    return inv.vendor_drift(read_table(spark, d, "sources"), no_pages)
+    first = v.page_texts(spark, d).where("page = 1").select(F.col("doc_hash").alias("content_hash"), "text")
+    return inv.vendor_drift(read_table(spark, d, "sources"), first)
 
 
 @query("""SELECT part_number, count(*) FILTER (WHERE status = 'done') AS done, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status = 'skipped') AS skipped,

@@ -101,3 +101,13 @@ def test_runtime_helpers(spark):
     assert "broadcast" not in plan.lower() and "broadcast" in sized(df, 100)._jdf.queryExecution().logical().toString().lower()
     assert spread(df.coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert staged(df, "t").count() == 30 and shared_dir(spark) == shared_dir(spark)
+
+
+def test_drift_reads_the_first_page_whatever_the_hash_looks_like(spark, tmp_path):
+    from sheetloom.plans.catalog import QUERIES
+
+    put = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    put("sources", [(1, "sha256:AB 12", "x.pdf", "datasheet", "ti", ""), (2, "cd34", "x.pdf", "datasheet", "adi", ""), (3, "ef56", "x.pdf", "datasheet", "ti", "")], "source_id long, content_hash string, path string, doc_type string, vendor string, vendor_evidence string")
+    put("section_plans", [(1, "ab12", 0, "a.md", "Analog Devices"), (2, "cd34", 0, "a.md", "by ANALOG DEVICES"), (3, "ef56", 0, "a.md", "none"), (4, "ef56", 1, "b.md", "Qorvo on page 2")], "plan_id long, doc_hash string, sec_pos int, file string, markdown string")
+    put("sections", [(1, "ab12", 0, 1, 1), (2, "cd34", 0, 1, 1), (3, "ef56", 0, 1, 1), (4, "ef56", 1, 2, 2)], "section_id long, doc_hash string, sec_pos int, page_start int, page_end int")
+    assert list(map(tuple, QUERIES["vendor_drift"](spark, str(tmp_path)).collect())) == [(1, "ti", "adi", 'brand:"analog devices" (p.1)')]

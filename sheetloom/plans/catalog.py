@@ -22,7 +22,7 @@ from sheetloom.operators import tables as tb
 from sheetloom.operators import verify as vf
 from sheetloom.operators.registrations import plain_hash, plain_path
 from sheetloom.plans import views as v
-from sheetloom.runtime import read_table
+from sheetloom.runtime import read_table, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -218,6 +218,25 @@ def plain_sections(spark, d):
     return plain(pages.select("doc_hash", "page", "text"), toc).select("doc_hash", "sec_pos", "title", "page_start")
 
 
+@query(rf"""WITH o AS (SELECT * FROM outline WHERE page IS NOT NULL AND doc_hash IN (SELECT doc_hash FROM page_texts)),
+e AS (SELECT doc_hash, max(page) AS last_page FROM page_texts GROUP BY ALL),
+r AS (SELECT o.doc_hash, o.pos, o.title, o.page AS a, arg_min(n.page, n.pos) AS up FROM o LEFT JOIN o AS n ON n.doc_hash = o.doc_hash AND n.pos > o.pos AND n.level <= o.level GROUP BY ALL),
+g AS (SELECT r.doc_hash, pos, title, a, greatest(a, coalesce(up - 1, last_page)) AS b FROM r JOIN e USING (doc_hash)),
+l0 AS (SELECT doc_hash, page, unnest(regexp_split_to_array(text, '\r\n|[\n\x0b\x0c\r\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]')) AS t0 FROM page_texts),
+l AS (SELECT doc_hash, page, {_strip('t0')} AS t FROM l0),
+k AS (SELECT doc_hash, page, count(*) AS n, sum(length(t)) AS chars FROM l WHERE t <> '' AND t <> CAST(page AS VARCHAR) GROUP BY ALL)
+SELECT g.doc_hash, pos AS sec_pos, title, a AS page_start, b AS page_end, coalesce(sum(n), 0) AS n_paragraphs, coalesce(sum(chars), 0) AS chars
+FROM g LEFT JOIN k ON k.doc_hash = g.doc_hash AND k.page BETWEEN a AND b GROUP BY ALL""")
+def plain_outline_sections(spark, d):
+    """Page texts under their contents: the lines of all pages of a range."""
+    from sheetloom.operators.plain import plain_sections as plain
+
+    # both are read several times
+    s = plain(staged(v.page_texts(spark, d), "page-texts"), staged(v.outline(spark, d), "outline"))
+    chars = F.aggregate("paragraphs", F.lit(0).cast("long"), lambda n, p: n + F.length(p))
+    return s.select("doc_hash", "sec_pos", "title", "page_start", "page_end", F.size("paragraphs").alias("n_paragraphs"), chars.alias("chars"))
+
+
 # --- furniture -----------------------------------------------------------------------------------------------------------------
 
 _BOILER = " OR ".join(rf"regexp_matches({_strip('line')}, '{p}')" for p in lx.BOILERPLATE_PATTERNS)
@@ -594,6 +613,15 @@ def backend_select(spark, d):
     return read_table(spark, d, "sources").select("source_id", inv.backend_of(F.lit("adi"), F.col("doc_type"), ["pdf_layout", "pdf_text", "ti_html"]).alias("backend"))
 
 
+_CHAINS = " ".join(f"WHEN vendor = '{n}' THEN '{chain[0]}'" for n, _, chain in lx.VENDOR_PROFILES)
+
+
+@query(f"SELECT source_id, CASE WHEN doc_type <> 'datasheet' THEN 'pdf_text' {_CHAINS} END AS backend FROM sources")
+def backend_routed(spark, d):
+    """The backend by the source's own vendor; null for one without profile."""
+    return read_table(spark, d, "sources").select("source_id", inv.backend_of(F.col("vendor"), F.col("doc_type"), ["pdf_layout", "pdf_text", "ti_html"]).alias("backend"))
+
+
 @query("""SELECT source_id, vendor, 'ti' AS detected, '' AS evidence FROM sources WHERE doc_type = 'datasheet' AND NOT starts_with(coalesce(vendor_evidence, ''), 'cli-override') AND vendor IS DISTINCT FROM 'ti'""")
 def vendor_drift(spark, d):
     first = v.page_texts(spark, d).where("page = 1").select(F.col("doc_hash").alias("content_hash"), "text")

@@ -111,3 +111,15 @@ def test_drift_reads_the_first_page_whatever_the_hash_looks_like(spark, tmp_path
     put("section_plans", [(1, "ab12", 0, "a.md", "Analog Devices"), (2, "cd34", 0, "a.md", "by ANALOG DEVICES"), (3, "ef56", 0, "a.md", "none"), (4, "ef56", 1, "b.md", "Qorvo on page 2")], "plan_id long, doc_hash string, sec_pos int, file string, markdown string")
     put("sections", [(1, "ab12", 0, 1, 1), (2, "cd34", 0, 1, 1), (3, "ef56", 0, 1, 1), (4, "ef56", 1, 2, 2)], "section_id long, doc_hash string, sec_pos int, page_start int, page_end int")
     assert list(map(tuple, QUERIES["vendor_drift"](spark, str(tmp_path)).collect())) == [(1, "ti", "adi", 'brand:"analog devices" (p.1)')]
+
+
+def test_contents_and_vendors_are_used_by_the_queries(spark, tmp_path):
+    from sheetloom.plans.catalog import QUERIES
+
+    put = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    put("section_plans", [(1, "d", 0, "a", "one\n1"), (2, "d", 1, "b", "two"), (3, "d", 2, "c", "three\nlines")], "plan_id long, doc_hash string, sec_pos int, file string, markdown string")
+    put("sections", [(1, "d", 0, "1", "A", 1, 1, 1), (2, "d", 1, "1.1", "B", 2, 2, 2), (3, "d", 2, "2", "C", 1, 3, 3)], "section_id long, doc_hash string, sec_pos int, number string, title string, level int, page_start int, page_end int")
+    got = sorted(map(tuple, QUERIES["plain_outline_sections"](spark, str(tmp_path)).collect()))
+    assert got == [("d", 0, "A", 1, 2, 2, 6), ("d", 1, "B", 2, 2, 1, 3), ("d", 2, "C", 3, 3, 2, 10)]
+    put("sources", [(1, "ti", "datasheet"), (2, "qorvo", "datasheet"), (3, "x", "datasheet"), (4, "x", "errata")], "source_id long, vendor string, doc_type string")
+    assert sorted((r.source_id, r.backend) for r in QUERIES["backend_routed"](spark, str(tmp_path)).collect()) == [(1, "ti_html"), (2, "pdf_layout"), (3, None), (4, "pdf_text")]

@@ -192,10 +192,10 @@ class Rewriter:
 
 
 def member_counts(texts: DataFrame, column: str) -> dict[str, int]:
-    """Occurrences in the corpus of every class member of one code point, and
-    of every base + accent pair: counted per batch, summed by one shuffle of a
-    few rows per task. The result is bounded by the table of members, not by
-    the data, and goes to the driver as the automaton's input."""
+    """Occurrences in the corpus of every class member of one code point (longer
+    members count as 0): counted per batch, summed by one shuffle of a few rows
+    per task. The result is bounded by the table of members, not by the data,
+    and goes to the driver as the automaton's input."""
     groups, _ = look_alike_classes()
     single = np.array(sorted({ord(s) for g in groups for s in g if len(s) == 1}), dtype=np.uint32)
 
@@ -228,6 +228,12 @@ def mapping_for(*corpora: tuple[DataFrame, str]) -> dict[str, str]:
     return choose(counts)
 
 
+def corpus_mapping(questions: DataFrame, sections: DataFrame) -> dict[str, str]:
+    """The rewriting by the frequencies of all expected substrings and all
+    paragraphs, so that every query writes a text the same way."""
+    return mapping_for((questions.select(F.explode("expected_substrings").alias("text")), "text"), (sections.select(F.explode("paragraphs").alias("text")), "text"))
+
+
 def uniform(c: Column, mapping: dict[str, str]) -> Column:
     """A text column in its uniform form; null stays null."""
 
@@ -248,8 +254,8 @@ def only_to_the_eye(questions: DataFrame, sections: DataFrame) -> DataFrame:
 
     Null substrings and paragraphs, and questions without doc_hash, are no
     case; an empty substring is contained in any paragraph, so it is none
-    either. Repeated questions and sections change nothing. Only paragraphs of
-    documents with questions are looked at; substrings meet the paragraphs of
+    either. Repeated questions and sections change nothing. Forms are chosen by the
+    whole corpus, but only paragraphs of documents with questions are looked at; substrings meet the paragraphs of
     their own sections inside the join, which emits matches only and is split
     by adaptive execution where one document is hot."""
     asked = questions.where("doc_hash is not null").select("question_id", "doc_hash", "section", F.posexplode("expected_substrings").alias("substring_pos", "sub"))
@@ -260,7 +266,7 @@ def only_to_the_eye(questions: DataFrame, sections: DataFrame) -> DataFrame:
     )
     paras = staged(paras, "paras")
     asked = staged(asked, "asked")
-    mapping = mapping_for((paras, "para"), (asked, "sub"))
+    mapping = corpus_mapping(questions, sections)
     # the form is only needed where it differs from the text
     a = asked.withColumn("sub_form", uniform(F.col("sub"), mapping))
     p = paras.withColumn("para_form", uniform(F.col("para"), mapping))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sheetloom.llm.boilerplate import cleaned_sections, partitions_by_time, repeated_lines
 from sheetloom.llm.bpe import decode_texts, encode_texts
-from sheetloom.llm.lookalikes import mapping_for, only_to_the_eye, uniform
+from sheetloom.llm.lookalikes import corpus_mapping, only_to_the_eye, uniform
 from sheetloom.llm.mixing import mix_report, mix_sources, token_lengths
 from sheetloom.llm.repetition import repetition, repetitive
 from sheetloom.llm.splitting import CHARS_PER_TOKEN, oversized, split_pieces
@@ -45,8 +45,8 @@ def p3_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected substrings and paragraphs in their one form."""
     subs = read_table(spark, sf_dir, "golden_questions").select(F.lit("golden_questions").alias("origin"), F.col("question_id").alias("id"), F.posexplode("expected_substrings").alias("pos", "text"))
     paras = read_table(spark, sf_dir, "sections").select(F.lit("sections").alias("origin"), F.col("section_id").alias("id"), F.posexplode("paragraphs").alias("pos", "text"))
-    both = subs.unionByName(paras)
-    return both.select("origin", "id", "pos", uniform(F.col("text"), mapping_for((both, "text"))).alias("uniform_text"))
+    mapping = corpus_mapping(read_table(spark, sf_dir, "golden_questions"), read_table(spark, sf_dir, "sections"))
+    return subs.unionByName(paras).select("origin", "id", "pos", uniform(F.col("text"), mapping).alias("uniform_text"))
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

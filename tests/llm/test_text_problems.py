@@ -297,3 +297,14 @@ def test_repetition_of_tables(spark):
     assert got[1] == (54, 48, 48 / 54) and got[2] == (3, 0, 0.0) and got[3] == got[4] == (0, 0, 0.0) and got[5][1] == 29_999
     assert sorted(r.doc_id for r in repetitive(df).collect()) == [1, 5]
     assert repetition(df.limit(0)).count() == 0
+
+
+def test_forms_are_chosen_by_the_whole_corpus(spark, monkeypatch):
+    from sheetloom.llm import lookalikes
+
+    seen = []
+    monkeypatch.setattr(lookalikes, "choose", lambda counts: seen.append(dict(counts)) or choose(counts))
+    q = spark.createDataFrame([(1, "d", None, ["\u2212"])], "question_id long, doc_hash string, section string, expected_substrings array<string>")
+    s = spark.createDataFrame([("d", "1", ["\u2212"]), ("e", "1", ["\u2212\u2212", None])], "doc_hash string, number string, paragraphs array<string>")
+    assert lookalikes.only_to_the_eye(q, s).count() == 0
+    assert [c["\u2212"] for c in seen] == [4]

@@ -140,9 +140,11 @@ def mix_sources(lengths: DataFrame, targets: DataFrame, seed: int = 0, total_tok
     return whole.unionByName(drawn).where("repeats > 0").select("doc_id", "source", "n_tokens", F.col("repeats").cast("int").alias("repeats"))
 
 
-def mix_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
+def mix_report(mixed: DataFrame, targets: DataFrame, lengths: DataFrame | None = None) -> DataFrame:
     """(source, target_share, max_repeats, documents, tokens, actual_share,
-    most_repeats) of every target, those without documents included."""
+    most_repeats) of every target, those without documents included. With the
+    output of token_lengths also (tokens_held, total_tokens, total_held): what
+    the source holds, and what the mix reaches of all tokens held."""
     used = mixed.groupBy("source").agg(
         F.count(F.lit(1)).alias("documents"), F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"), F.max("repeats").alias("most_repeats")
     )
@@ -150,4 +152,9 @@ def mix_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     out = targets.select("source", "target_share", "max_repeats").join(used, "source", "left").crossJoin(F.broadcast(total))
     zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("documents", "tokens", "most_repeats")]
     share = F.coalesce(F.col("tokens") / F.col("total"), F.lit(0.0)).alias("actual_share")
-    return out.select("source", "target_share", "max_repeats", *zero, share)
+    if lengths is None:
+        return out.select("source", "target_share", "max_repeats", *zero, share)
+    held = lengths.groupBy("source").agg(F.sum("n_tokens").alias("tokens_held"))
+    out = out.join(F.broadcast(held), "source", "left").crossJoin(F.broadcast(held.agg(F.sum("tokens_held").alias("total_held"))))
+    more = [F.coalesce(c, F.lit(0)).alias(n) for n, c in (("tokens_held", "tokens_held"), ("total_tokens", "total"), ("total_held", "total_held"))]
+    return out.select("source", "target_share", "max_repeats", *zero, share, *more)

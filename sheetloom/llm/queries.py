@@ -57,10 +57,10 @@ def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode_texts(p6_ids(spark, sf_dir))
 
 
-def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     targets = read_table(spark, sf_dir, "mix_targets")
     lengths = staged(token_lengths(read_table(spark, sf_dir, "documents"), targets), "lengths")
-    return mix_sources(lengths, targets), targets
+    return mix_sources(lengths, targets), targets, lengths
 
 
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,8 +68,8 @@ def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed, targets = _mixed(spark, sf_dir)
-    return mix_report(staged(mixed, "mixed"), targets)
+    mixed, targets, lengths = _mixed(spark, sf_dir)
+    return mix_report(staged(mixed, "mixed"), targets, lengths)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

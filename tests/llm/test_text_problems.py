@@ -308,3 +308,10 @@ def test_forms_are_chosen_by_the_whole_corpus(spark, monkeypatch):
     s = spark.createDataFrame([("d", "1", ["\u2212"]), ("e", "1", ["\u2212\u2212", None])], "doc_hash string, number string, paragraphs array<string>")
     assert lookalikes.only_to_the_eye(q, s).count() == 0
     assert [c["\u2212"] for c in seen] == [4]
+
+
+def test_the_report_shows_what_the_mix_reaches(spark):
+    lengths = spark.createDataFrame([(i, "big", 10) for i in range(50)] + [(99, "tiny", 10)], "doc_id long, source string, n_tokens long")
+    targets = spark.createDataFrame([("big", 0.5, 1), ("tiny", 0.5, 1)], "source string, target_share double, max_repeats int")
+    got = {r.source: (r.tokens, r.tokens_held, r.total_tokens, r.total_held) for r in mix_report(mix_sources(lengths, targets), targets, lengths).collect()}
+    assert got == {"big": (10, 500, 20, 510), "tiny": (10, 10, 20, 510)}

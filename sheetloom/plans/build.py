@@ -1,7 +1,7 @@
 """The corpus build: decoded documents in, a queryable corpus out.
 
 Documents are rows, so one job builds any number of parts. The work list is
-taken by hash and version (see registrations.py); what is published is a set of
+taken by hash and version (see parts_to_build); what is published is a set of
 tables, partitioned by part, and the text artifacts people read.
 """
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sheetloom.operators.quantities import agreeing_rows, to_common_units
 from sheetloom.operators.registrations import files_to_build
+from sheetloom.plans.unit_sql import agreeing_rows_sql
 from sheetloom.runtime import read_table, staged
 
 
@@ -44,5 +45,6 @@ SELECT cur.source_id FROM cur
 LEFT JOIN done USING (part_number, file)
 LEFT JOIN current_versions v ON v.backend = done.backend
 WHERE NOT coalesce(done.h = cur.h AND cur.h <> '' AND done.pipeline_version = v.pipeline_version
-  AND done.extractor_version = v.output_version AND trim(v.output_version) <> '' AND trim(v.pipeline_version) <> '', false)"""
+  AND done.extractor_version = v.output_version AND trim(v.output_version) <> '' AND trim(v.pipeline_version) <> '', false)""",
+        "p5_found": agreeing_rows_sql(),
     }

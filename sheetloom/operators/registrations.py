@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheetloom.operators.merkle import build_tree, changed_records, depth_for, keyed_records
-from sheetloom.runtime import staged
+from sheetloom.operators.merkle import build_tree, changed_leaves, changed_records, depth_for, keyed_records
+from sheetloom.runtime import sized, staged
 
 #: The value of a saved record that no current record can equal.
 STALE = "\u0000stale"
@@ -58,15 +58,12 @@ def finished_builds(builds: DataFrame, versions: DataFrame) -> DataFrame:
         .agg(F.max("b").alias("b"))
         .select("part_number", "file", "b.h", "b.pipeline_version", "b.extractor_version", "b.backend")
     )
-    # one row per backend and version of today: a fixed table of a few rows
-    today = versions.select("backend", F.col("pipeline_version").alias("_p"), F.col("output_version").alias("_o")).distinct()
-    met = (F.col("pipeline_version") == F.col("_p")) & (F.col("extractor_version") == F.col("_o")) & (F.trim("_p") != "") & (F.trim("_o") != "")
-    return (
-        done.join(today, "backend", "left")
-        .groupBy("part_number", "file", "h")
-        .agg(F.max(F.coalesce(met, F.lit(False))).alias("ok"))
-        .select("part_number", "file", F.when(F.col("ok") & (F.col("h") != ""), F.col("h")).otherwise(F.lit(STALE)).alias("value"))
-    )
+    # one row per backend: a fixed table of a few rows
+    today = versions.groupBy("backend").agg(F.collect_set(F.struct("pipeline_version", "output_version")).alias("today"))
+    blank = (F.trim("pipeline_version") == "") | (F.trim("extractor_version") == "")
+    met = F.array_contains(F.coalesce("today", F.array()), F.struct("pipeline_version", F.col("extractor_version").alias("output_version")))
+    known = F.col("pipeline_version").isNotNull() & F.col("extractor_version").isNotNull() & ~blank
+    return done.join(sized(today), "backend", "left").select("part_number", "file", F.when(known & met & (F.col("h") != ""), F.col("h")).otherwise(F.lit(STALE)).alias("value"))
 
 
 def files_to_build(sources: DataFrame, builds: DataFrame, versions: DataFrame) -> DataFrame:
@@ -79,8 +76,7 @@ def files_to_build(sources: DataFrame, builds: DataFrame, versions: DataFrame) -
     saved = staged(finished_builds(builds, versions), "finished")
     depth = depth_for(current.count())
     keys = ["part_number", "file"]
-    a, b = (keyed_records(x, keys, "value", depth) for x in (current, saved))
+    a, b = keyed_records(current, keys, "value", depth, "source_id"), keyed_records(saved, keys, "value", depth)
     trees = [staged(build_tree(x, depth), "tree") for x in (a, b)]
-    changed = changed_records(a, b, *trees, keys, "value", depth).where("change <> 'removed'")
-    on = [F.col(f"c.{k}").eqNullSafe(F.col(f"x.{k}")) for k in keys]
-    return current.alias("c").join(changed.alias("x"), on[0] & on[1]).select("c.source_id", "c.part_number", "c.file", "x.change")
+    leaves = changed_leaves(*trees, depth)
+    return changed_records(a, b, leaves, keys, "value", "source_id").where("change <> 'removed'").select("source_id", "part_number", "file", "change")

@@ -1,8 +1,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from sheetloom.operators.merkle import IncrementalRun, build_tree, changed_leaves, changed_records, depth_for, keyed_records
+from sheetloom.sources.versions import Outrun
 from sheetloom.operators.registrations import STALE, current_registrations, files_to_build, finished_builds
 
 
@@ -12,15 +14,15 @@ def frame(spark, rows):
 
 def diff(spark, new, old, depth):
     a, b = (keyed_records(frame(spark, x), ["k"], "v", depth) for x in (new, old))
-    out = changed_records(a, b, build_tree(a, depth), build_tree(b, depth), ["k"], "v", depth)
+    out = changed_records(a, b, changed_leaves(build_tree(a, depth), build_tree(b, depth), depth), ["k"], "v")
     return {(r.k, r.v, r.change) for r in out.collect()}
 
 
 def test_depth_follows_the_number_of_records():
     assert depth_for(0) == 1
-    assert depth_for(64 * 16) == 1
-    assert depth_for(64 * 16 + 1) == 2
-    assert depth_for(10**30) == 10
+    assert depth_for(64 * 256) == 1
+    assert depth_for(64 * 256 + 1) == 2
+    assert depth_for(10**30) == 5
 
 
 def test_changes_equal_a_plain_comparison(spark):
@@ -67,9 +69,55 @@ def test_a_failed_run_repeats_and_skips_nothing(spark, tmp_path):
         run.run(second, broken)
     assert len(run.published()) == 1
     run.run(second, lambda c: c.select("k", "v"))
-    assert sorted(map(tuple, run.outputs().collect())) == [("a", "1"), ("a", "2"), ("b", "1"), ("c", "1")]
-    run.run(second, lambda c: c.select("k", "v"))
-    assert run.outputs().count() == 4
+    assert sorted(map(tuple, run.outputs().collect())) == [("a", "2"), ("b", "1"), ("c", "1")]
+    met = []
+    run.run(second, lambda c: met.append(c.count()) or c.select("k", "v"))
+    assert met == [0] and run.outputs().count() == 3
+
+
+def test_removed_keys_lose_their_output(spark, tmp_path):
+    run = IncrementalRun(spark, f"file://{tmp_path}/store", ["k"], "v")
+    run.run(frame(spark, [("a", "1"), ("b", None), (None, "1")]), lambda c: c.select("k", "v"))
+    run.run(frame(spark, [("b", None)]), lambda c: c.select("k", "v"))
+    assert [tuple(r) for r in run.outputs().collect()] == [("b", None)]
+    run.run(frame(spark, [("a", "1"), ("b", None)]), lambda c: c.select("k", "v"))
+    assert sorted(r.k for r in run.outputs().collect()) == ["a", "b"]
+
+
+def test_the_second_of_two_racing_runs_is_refused(spark, tmp_path):
+    run = IncrementalRun(spark, f"file://{tmp_path}/store", ["k"], "v")
+    other = IncrementalRun(spark, f"file://{tmp_path}/store", ["k"], "v")
+
+    def slow(changes):
+        other.run(frame(spark, [("a", "2")]), lambda c: c.select("k", "v"))
+        return changes.select("k", "v")
+
+    with pytest.raises(Outrun):
+        run.run(frame(spark, [("a", "1")]), slow)
+    assert [tuple(r) for r in run.outputs().collect()] == [("a", "2")]
+
+
+def test_a_grown_store_is_cut_deeper_and_only_changed_leaves_are_written(spark, tmp_path):
+    def numbers(n, changed=()):
+        v = F.when(F.col("id").isin(*changed), "x").otherwise("v") if changed else F.lit("v")
+        return spark.range(n).select(F.concat(F.lit("k"), F.col("id")).alias("k"), v.alias("v"))
+
+    run = IncrementalRun(spark, f"file://{tmp_path}/store", ["k"], "v")
+    met = []
+
+    def keep(c):
+        met.append(c.count())
+        return c.select("k", "v")
+
+    run.run(numbers(64), keep)
+    assert run.versions.latest()[1]["depth"] == 1
+    run.run(numbers(100_000), keep)
+    assert run.versions.latest()[1]["depth"] == 2
+    name = run.run(numbers(100_000, (3, 70_000)), keep)
+    assert met == [64, 99_936, 2]
+    assert spark.read.parquet(f"file://{tmp_path}/store/{name}/records").count() < 50
+    run.run(numbers(100_000, (3,)), keep)
+    assert met[-1] == 1 and run.outputs().where("v = 'x'").count() == 1 and run.outputs().count() == 100_000
 
 
 SOURCES = "source_id long, content_hash string, path string, part_number string, registered_at timestamp_ntz, extra string"

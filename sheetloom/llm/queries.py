@@ -19,7 +19,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cleaned_sections(read_table(spark, sf_dir, "sections")).select("section_id", "paragraphs", "boilerplate_removed")
+    return cleaned_sections(partitions_by_time(read_table(spark, sf_dir, "sections"))).select("section_id", "paragraphs", "boilerplate_removed")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

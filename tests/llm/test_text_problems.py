@@ -1,5 +1,8 @@
+import os
 import random
 import re
+import subprocess
+import sys
 from pathlib import Path
 
 import numpy as np
@@ -7,10 +10,11 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sheetloom.llm import bpe, splitting
-from sheetloom.llm.boilerplate import LineCounts, cleaned_sections, lines_of, repeated_lines
+from sheetloom.llm import boilerplate, bpe, splitting
+from sheetloom.llm.boilerplate import LineCounts, RepeatedLines, cleaned_sections, lines_of, repeated_lines
 from sheetloom.llm.lookalikes import Rewriter, choose, look_alike_classes, mapping_for, only_to_the_eye, uniform
 from sheetloom.llm.mixing import budgets, fit_subset, mix_report, mix_sources
+from sheetloom.sources.versions import Outrun
 from sheetloom.llm.repetition import measure_texts, repetition, repetitive, suffix_order
 
 SECTIONS = "section_id long, vendor string, doc_hash string, paragraphs array<string>, number string, boilerplate_removed int, h1 string, bin string"
@@ -62,15 +66,55 @@ def test_only_documents_with_newly_crossed_lines_are_rebuilt(spark):
     assert first.count() == 0 and touched.count() == 0
     newly, touched = store.merge(sections(spark, [(4, "v", "e", ["X "]), (5, "v", "a", ["x"])]))
     assert newly.count() == 1 and touched.count() == 2
-    assert store.pairs.count() == 2  # y and z; a crossed line needs no documents any more
 
 
-def test_cleaning_keeps_the_rest(spark):
-    rows = [(i, "v", f"d{i}", [f"Own {'abc'[i]}\nPage 4", "Page 5", None, ""]) for i in range(3)] + [(9, "w", "q", ["Page 1"]), (10, "v", "z", None), (9, "w", "q", ["Page 1"])]
-    out = cleaned_sections(sections(spark, rows), threshold=3).orderBy("section_id").collect()
+MERGE = """
+import sys
+from sheetloom.llm.boilerplate import RepeatedLines
+from sheetloom.runtime import local_session
+spark = local_session("merge", "2")
+rows = [(int(i), "v", d, [p]) for i, d, p in (x.split("|") for x in sys.argv[2:])]
+RepeatedLines(spark, sys.argv[1], 3).merge(spark.createDataFrame(rows, "section_id long, vendor string, doc_hash string, paragraphs array<string>"))
+"""
+
+
+def test_a_store_is_opened_again_by_another_process(spark, tmp_path):
+    root = f"file://{tmp_path}/lines"
+    subprocess.run([sys.executable, "-c", MERGE, root, "1|a|x", "2|b|x", "3|a|own"], check=True, capture_output=True, env=os.environ | {"PYTHONPATH": os.getcwd()})
+    store = RepeatedLines(spark, root, 3)
+    newly, touched = store.merge(sections(spark, [(4, "v", "c", ["X"])]))
+    assert (newly.count(), touched.count()) == (1, 2)
+    assert sorted(map(tuple, store.found().collect())) == [(1, 0, 0), (2, 0, 0), (4, 0, 0)]
+    with pytest.raises(ValueError, match="threshold"):
+        LineCounts(spark, root, 4)
+
+
+def test_racing_merges_and_compaction(spark, monkeypatch):
+    monkeypatch.setattr(boilerplate, "COMPACT_EVERY", 1)
+    store = RepeatedLines(spark, threshold=3)
+    for i in range(4):
+        store.merge(sections(spark, [(i, "v", f"d{i}", ["x\ny" if i else "x"])]))
+    assert len(store.state["pairs"]) == 1 and store.table("pairs").count() == 0
+    assert store.found().count() == 7
+    other = RepeatedLines(spark, store.root, 3)
+
+    def race(*_):
+        other.derive = lambda *_: None
+        other.merge(sections(spark, [(8, "v", "d8", ["z"])]))
+
+    store.derive = race
+    with pytest.raises(Outrun):
+        store.merge(sections(spark, [(9, "v", "d9", ["z"])]))
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_cleaning_keeps_the_rest(spark, parts):
+    rows = [(i, "v", f"d{i}", [f"Own {'abc'[i]}\nPage 4", "Page 5", None, ""]) for i in range(3)] + [(9, "w", "q", ["Page 1"]), (10, "v", "z", None), (9, "w", "q", ["Page 1"]), (11, None, None, ["Page 1"])]
+    out = cleaned_sections([sections(spark, rows[k::parts]) for k in range(parts)], threshold=3).orderBy("section_id").collect()
     assert [(r.section_id, r.paragraphs, r.boilerplate_removed) for r in out] == [
-        (0, ["Own a", None, ""], 2), (1, ["Own b", None, ""], 2), (2, ["Own c", None, ""], 2), (9, ["Page 1"], 0), (9, ["Page 1"], 0), (10, None, 0),
+        (0, ["Own a", None, ""], 2), (1, ["Own b", None, ""], 2), (2, ["Own c", None, ""], 2), (9, ["Page 1"], 0), (9, ["Page 1"], 0), (10, None, 0), (11, ["Page 1"], 0),
     ]
+    assert out[0].asDict().keys() == {f.split()[0] for f in SECTIONS.split(", ")}
 
 
 def test_no_lines_in_empty_tables(spark):

@@ -9,12 +9,18 @@ occur in the corpus, and texts are rewritten by an automaton that replaces, at
 each place, the longest member that is no representative. Invisible characters
 are a class with the empty string.
 
+Before that, canonically equivalent text is made equal (order of accents,
+syllables written in parts, compatibility ideographs), and invisible characters
+go, but for joiners where they show: between letters of scripts whose letters
+join, and between pictographs.
+
 Case, accents, digits of other scripts and raised digits tell texts apart and
 are never joined.
 """
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -31,15 +37,22 @@ from sheetloom.runtime import staged
 
 # Letters of other scripts that print like a Latin one.
 LETTERS = {
-    "a": "аɑ", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡ", "h": "һ", "i": "і", "j": "јϳ", "l": "ӏ", "o": "оοօ", "p": "р", "q": "ԛ", "s": "ѕ",
+    "a": "аɑ", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡց", "h": "һհ", "i": "і", "j": "јϳ", "k": "к", "l": "ӏ", "n": "ո", "o": "оοօ", "p": "р", "q": "ԛզ", "s": "ѕ",
     "u": "ս", "v": "ѵν", "w": "ԝ", "x": "х", "y": "у",
-    "A": "АΑᎪ", "B": "ВΒᏴ", "C": "СϹᏟ", "D": "Ꭰ", "E": "ЕΕᎬ", "G": "ԌᏀ", "H": "НΗᎻ", "I": "ІΙӀ", "J": "ЈͿᎫ", "K": "КΚᏦ",
-    "L": "Ꮮ", "M": "МΜᎷ", "N": "Ν", "O": "ОΟՕ", "P": "РΡᏢ", "Q": "Ԛ", "S": "ЅᏚՏ", "T": "ТΤᎢ", "U": "Ս", "V": "ѴᏙ", "W": "ԜᏔ",
+    "A": "АΑᎪ", "B": "ВΒᏴ", "C": "СϹᏟ", "D": "Ꭰ", "E": "ЕΕᎬ", "F": "Ϝ", "G": "ԌᏀ", "H": "НΗᎻ", "I": "ІΙӀ", "J": "ЈͿᎫ", "K": "КΚᏦ",
+    "L": "Ꮮ", "M": "МΜᎷ", "N": "Ν", "O": "ОΟՕ", "P": "РΡᏢ", "Q": "Ԛ", "R": "Ꭱ", "S": "ЅᏚՏ", "T": "ТΤᎢ", "U": "Ս", "V": "ѴᏙ", "W": "ԜᏔ",
     "X": "ХΧ", "Y": "ҮΥ", "Z": "ΖᏃ",
 }
 # Kinds of hyphen, and invisible characters besides the category Cf.
 HYPHENS = "-\u02d7\u2010\u2011\u2012\u2212\ufe63\uff0d"
 INVISIBLE = "\u034f\u115f\u1160\u17b4\u17b5\u3164\uffa0"
+# Where joiners show (scripts whose letters join or stack; pictographs), and the letters that spell a flag's region.
+JOINING_SCRIPTS = "\u0600-\u07ff\u0840-\u085f\u0860-\u08ff\u0900-\u0dff\u1000-\u109f\u1780-\u17ff\u1800-\u18af\ua840-\ua87f\ufb50-\ufdff\ufe70-\ufefc"
+PICTOGRAPHS = "\u00a9\u00ae\u203c-\u3299\U0001f000-\U0001faff"
+TAGS = "\U000e0020-\U000e007f"
+JOINERS = "\u200c\u200d"
+_NO_JOIN = re.compile(f"(?<![{JOINING_SCRIPTS}])\u200c|\u200c(?![{JOINING_SCRIPTS}])|(?<![{JOINING_SCRIPTS}{PICTOGRAPHS}])\u200d|\u200d(?![{JOINING_SCRIPTS}{PICTOGRAPHS}])")
+_NO_FLAG = re.compile(f"(?<![\U0001f3f4{TAGS}])[{TAGS}]+")
 #: Kinds of one-step decomposition that change neither meaning nor look much.
 _ALIKE_KINDS = {"<wide>", "<narrow>", "<compat>", "<square>", "<noBreak>", "<initial>", "<medial>", "<final>", "<isolated>", "<small>"}
 
@@ -148,12 +161,17 @@ def choose(counts: dict[str, int]) -> dict[str, str]:
     groups, invisible = look_alike_classes()
     out = dict.fromkeys(invisible, "")
     for group in groups:
-        most = max(map(_letters, group))
-        spelled = [s for s in group if _letters(s) == most]
+        # a representative is its own canonical form
+        stable = [s for s in group if unicodedata.is_normalized("NFC", s)] or group
+        most = max(map(_letters, stable))
+        spelled = [s for s in stable if _letters(s) == most]
         plain = [s for s in spelled if len(s) == most] or spelled
         best = min(plain, key=lambda s: (-counts.get(s, 0), len(s), s))
         out |= {s: best for s in group if s != best}
-    return out
+    # closed: parts of a representative may belong to classes of their own
+    rewriter = Rewriter(out)
+    closed = {k: rewriter(v) if v else v for k, v in out.items()}
+    return {k: v for k, v in closed.items() if k != v}
 
 
 class Rewriter:
@@ -162,13 +180,19 @@ class Rewriter:
 
     def __init__(self, mapping: dict[str, str]) -> None:
         self.mapping = mapping
+        contextual = {c for c in map(chr, [*map(ord, JOINERS), *range(0xE0020, 0xE0080)])}
+        self.invisible = {ord(k): None for k, v in mapping.items() if v == "" and len(k) == 1 and k not in contextual}
         self.automaton = ahocorasick.Automaton()
         for k, v in mapping.items():
-            self.automaton.add_word(k, (len(k), v))
+            if v:
+                self.automaton.add_word(k, (len(k), v))
         self.automaton.make_automaton()
-        # a text without the last code point of any member stays as it is
+        # a canonical text without the last code point of any member stays as it is
         self.trigger = frozenset(k[-1] for k in mapping)
-        self.invisible = {ord(k): None for k, v in mapping.items() if v == "" and len(k) == 1}
+
+    @property
+    def plain_ascii_stays(self) -> bool:
+        return not any(c < "\x80" for c in self.trigger)
 
     def _once(self, text: str) -> str:
         out, at = [], 0
@@ -177,18 +201,20 @@ class Rewriter:
             out += (text[at:start], v)
             at = end + 1
         out.append(text[at:])
-        return "".join(out)
+        return unicodedata.normalize("NFC", "".join(out))
 
     def __call__(self, text: str | None) -> str | None:
-        if not text or self.trigger.isdisjoint(text):
+        if not text or (self.trigger.isdisjoint(text) and unicodedata.is_normalized("NFC", text)):
             return text
         text = text.translate(self.invisible)  # these may stand inside a longer member
-        for _ in range(4):
-            done = self._once(text)
-            if done == text:
-                break
-            text = done
-        return text
+        while (bare := _NO_FLAG.sub("", _NO_JOIN.sub("", text))) != text:
+            text = bare
+        text = unicodedata.normalize("NFC", text)
+        met = []  # should rewriting ever go round, the smallest text of the round is taken
+        while text not in met:
+            met.append(text)
+            text = self._once(text)
+        return min(met[met.index(text) :])
 
 
 def member_counts(texts: DataFrame, column: str) -> dict[str, int]:
@@ -235,7 +261,8 @@ def corpus_mapping(questions: DataFrame, sections: DataFrame) -> dict[str, str]:
 
 
 def uniform(c: Column, mapping: dict[str, str]) -> Column:
-    """A text column in its uniform form; null stays null."""
+    """A text column in its uniform form; null stays null. Texts of plain ASCII
+    aren't sent to Python unless the mapping rewrites ASCII."""
 
     @F.pandas_udf("string")
     def rewrite(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -243,7 +270,9 @@ def uniform(c: Column, mapping: dict[str, str]) -> Column:
         for batch in batches:
             yield batch.map(rewriter, na_action="ignore")
 
-    return rewrite(c)
+    if not Rewriter(mapping).plain_ascii_stays:
+        return rewrite(c)
+    return F.coalesce(rewrite(F.when(c.rlike(r"[^\x00-\x7f]"), c)), c)
 
 
 def only_to_the_eye(questions: DataFrame, sections: DataFrame) -> DataFrame:
@@ -267,11 +296,18 @@ def only_to_the_eye(questions: DataFrame, sections: DataFrame) -> DataFrame:
     paras = staged(paras, "paras")
     asked = staged(asked, "asked")
     mapping = corpus_mapping(questions, sections)
-    # the form is only needed where it differs from the text
-    a = asked.withColumn("sub_form", uniform(F.col("sub"), mapping))
-    p = paras.withColumn("para_form", uniform(F.col("para"), mapping))
-    same = a["doc_hash"] == p["doc_hash"]
-    where = F.col("section").isNull() | (F.col("section") == F.col("number"))
-    visible = F.contains(F.col("para_form"), F.col("sub_form")) | F.contains(F.col("para"), F.col("sub"))
-    found = a.join(p, same & where & visible).groupBy("question_id", "substring_pos").agg(F.max(F.contains(F.col("para"), F.col("sub"))).alias("exact"))
+    # a form is carried only where it differs from the text
+    own = lambda text: F.when(uniform(F.col(text), mapping) != F.col(text), uniform(F.col(text), mapping)).alias(f"{text}_form")
+    a = asked.select("*", own("sub"))
+    p = paras.select("*", own("para"))
+    visible = F.contains(F.coalesce("para_form", "para"), F.coalesce("sub_form", "sub")) | F.contains(F.col("para"), F.col("sub"))
+    exact = F.contains(F.col("para"), F.col("sub"))
+
+    def met(some: DataFrame, on: list[str]) -> DataFrame:
+        return some.join(p.select(*on, "para", "para_form"), on).where(visible).groupBy("question_id", "substring_pos").agg(F.max(exact).alias("exact"))
+
+    in_section = met(a.where("section is not null").withColumnRenamed("section", "number"), ["doc_hash", "number"])
+    anywhere = met(a.where("section is null").drop("section"), ["doc_hash"])
+    # a question that comes repeatedly, with and without its section, is asked in both ways
+    found = in_section.unionByName(anywhere).groupBy("question_id", "substring_pos").agg(F.max("exact").alias("exact"))
     return found.where("not exact").select("question_id", "substring_pos")

@@ -181,6 +181,32 @@ def test_text_a_reader_can_tell_apart_stays_so(a, b):
     assert r(a) != r(b)
 
 
+@pytest.mark.parametrize(
+    ("a", "b"),
+    [("\ud55c\uae00", "\u1112\u1161\u11ab\u1100\u1173\u11af"), ("\uf9b4", "\u9818"), ("x\u0323\u0302", "x\u0302\u0323"), ("\u043aot", "kot"), ("a\u200db", "ab"), ("\u0958", "\u0915\u093c")],
+)
+def test_canonical_forms_are_equal(a, b):
+    r = Rewriter(choose({}))
+    assert r(a) == r(b)
+
+
+@pytest.mark.parametrize(
+    ("a", "b"),
+    [("\U0001f468\u200d\U0001f469\u200d\U0001f467", "\U0001f468\U0001f469\U0001f467"), ("\u0645\u06cc\u200c\u062e\u0648\u0627\u0647\u0645", "\u0645\u06cc\u062e\u0648\u0627\u0647\u0645"),
+     ("\U0001f3f4\U000e0067\U000e0062\U000e0065\U000e006e\U000e0067\U000e007f", "\U0001f3f4\U000e0067\U000e0062\U000e0073\U000e0063\U000e0074\U000e007f")],
+)
+def test_joiners_that_show_are_kept(a, b):
+    r = Rewriter(choose({}))
+    assert r(a) != r(b) and r(r(a)) == r(a)
+
+
+def test_representatives_are_never_rewritten():
+    mapping = choose({})
+    r = Rewriter(mapping)
+    assert all(r(v) == v for v in set(mapping.values()))
+    assert r.plain_ascii_stays and not Rewriter(choose({"\u0430": 9})).plain_ascii_stays
+
+
 def test_frequent_members_represent_their_class():
     assert choose({"а": 5, "a": 2})["a"] == "а"
     assert choose({"a": 5, "а": 2})["а"] == "a"

@@ -289,17 +289,16 @@ def only_to_the_eye(questions: DataFrame, sections: DataFrame) -> DataFrame:
     by adaptive execution where one document is hot."""
     asked = questions.where("doc_hash is not null").select("question_id", "doc_hash", "section", F.posexplode("expected_substrings").alias("substring_pos", "sub"))
     asked = asked.where("sub is not null").distinct()
-    docs = asked.select("doc_hash").distinct()
-    paras = (
-        sections.join(docs, "doc_hash", "left_semi").select("doc_hash", "number", F.explode("paragraphs").alias("para")).where("para is not null")
-    )
-    paras = staged(paras, "paras")
-    asked = staged(asked, "asked")
     mapping = corpus_mapping(questions, sections)
-    # a form is carried only where it differs from the text
-    own = lambda text: F.when(uniform(F.col(text), mapping) != F.col(text), uniform(F.col(text), mapping)).alias(f"{text}_form")
-    a = asked.select("*", own("sub"))
-    p = paras.select("*", own("para"))
+
+    def formed(df: DataFrame, text: str) -> DataFrame:
+        """df with the form of a text, where it differs; written once, as it is read twice."""
+        form = df.withColumn("_form", uniform(F.col(text), mapping))
+        return staged(form.withColumn(f"{text}_form", F.when(F.col("_form") != F.col(text), F.col("_form"))).drop("_form"), text)
+
+    a = formed(asked, "sub")
+    paras = sections.join(a.select("doc_hash").distinct(), "doc_hash", "left_semi").select("doc_hash", "number", F.explode("paragraphs").alias("para"))
+    p = formed(paras.where("para is not null"), "para")
     visible = F.contains(F.coalesce("para_form", "para"), F.coalesce("sub_form", "sub")) | F.contains(F.col("para"), F.col("sub"))
     exact = F.contains(F.col("para"), F.col("sub"))
 

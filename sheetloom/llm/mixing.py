@@ -140,11 +140,12 @@ def mix_sources(lengths: DataFrame, targets: DataFrame, seed: int = 0, total_tok
     return whole.unionByName(drawn).where("repeats > 0").select("doc_id", "source", "n_tokens", F.col("repeats").cast("int").alias("repeats"))
 
 
-def mix_report(mixed: DataFrame, targets: DataFrame, lengths: DataFrame | None = None) -> DataFrame:
+def mix_report(mixed: DataFrame, targets: DataFrame, lengths: DataFrame | None = None, total_tokens: int | None = None) -> DataFrame:
     """(source, target_share, max_repeats, documents, tokens, actual_share,
     most_repeats) of every target, those without documents included. With the
-    output of token_lengths also (tokens_held, total_tokens, total_held): what
-    the source holds, and what the mix reaches of all tokens held."""
+    output of token_lengths also (tokens_held, total_tokens, total_held,
+    missed): what the source holds, what the mix reaches of all tokens held,
+    and by how many tokens the source's budget was missed."""
     used = mixed.groupBy("source").agg(
         F.count(F.lit(1)).alias("documents"), F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"), F.max("repeats").alias("most_repeats")
     )
@@ -156,5 +157,7 @@ def mix_report(mixed: DataFrame, targets: DataFrame, lengths: DataFrame | None =
         return out.select("source", "target_share", "max_repeats", *zero, share)
     held = lengths.groupBy("source").agg(F.sum("n_tokens").alias("tokens_held"))
     out = out.join(F.broadcast(held), "source", "left").crossJoin(F.broadcast(held.agg(F.sum("tokens_held").alias("total_held"))))
+    plan = lengths.sparkSession.createDataFrame([(s, b) for s, b, _ in budgets(lengths, targets, total_tokens)], "source string, budget long")
+    out = out.join(F.broadcast(plan), "source", "left").withColumn("missed", F.coalesce(F.col("budget"), F.lit(0)) - F.coalesce("tokens", F.lit(0)))
     more = [F.coalesce(c, F.lit(0)).alias(n) for n, c in (("tokens_held", "tokens_held"), ("total_tokens", "total"), ("total_held", "total_held"))]
-    return out.select("source", "target_share", "max_repeats", *zero, share, *more)
+    return out.select("source", "target_share", "max_repeats", *zero, share, *more, "missed")

@@ -10,7 +10,7 @@ from sheetloom.llm.bpe import decode_texts, encode_texts
 from sheetloom.llm.lookalikes import corpus_mapping, only_to_the_eye, uniform
 from sheetloom.llm.mixing import mix_report, mix_sources, token_lengths
 from sheetloom.llm.repetition import repetition, repetitive
-from sheetloom.llm.splitting import CHARS_PER_TOKEN, oversized, split_pieces
+from sheetloom.llm.splitting import CHARS_PER_TOKEN, LIMIT, OVERLAP, oversized, split_pieces
 from sheetloom.runtime import read_table, staged
 
 
@@ -37,6 +37,21 @@ def p2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.groupBy("plan_id").agg(chars).select("plan_id", F.ceil(F.col("chars") / CHARS_PER_TOKEN).alias("token_count"))
 
 
+def p2_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each plan with text: how many code points its pieces cover, whether
+    all are within the limit, share the overlap and are what stands there."""
+    plans = read_table(spark, sf_dir, "section_plans").select("plan_id", "markdown")
+    pieces = split_pieces(plans, "plan_id", "markdown")
+    before = F.array_sort(F.collect_list(F.struct("piece_pos", "start", "end", "token_count", F.length("text").alias("chars"), "text")))
+    whole = pieces.groupBy("plan_id").agg(before.alias("ps")).join(plans, "plan_id")  # a group is one plan's pieces
+    fits = F.forall("ps", lambda p: (p["token_count"] <= LIMIT) & (p["chars"] <= LIMIT * CHARS_PER_TOKEN) & (p["chars"] == p["end"] - p["start"]))
+    step = F.transform(F.slice("ps", 2, 1 << 30), lambda p, i: F.get("ps", i)["end"] - p["start"])
+    overlaps = F.forall(step, lambda n: n == OVERLAP * CHARS_PER_TOKEN)
+    same = F.forall("ps", lambda p: F.substring(F.col("markdown"), p["start"] + 1, p["end"] - p["start"]) == p["text"])
+    covered = F.element_at("ps", -1)["end"]
+    return whole.select("plan_id", covered.alias("covered"), fits.alias("fits"), overlaps.alias("overlaps"), same.alias("same"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return only_to_the_eye(read_table(spark, sf_dir, "golden_questions"), read_table(spark, sf_dir, "sections"))
 
@@ -72,6 +87,16 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(staged(mixed, "mixed"), targets, lengths)
 
 
+def p7_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each target: whether its documents are within the cap, and whether its
+    share is that of the targets with documents, to a thousandth."""
+    r = p7_report(spark, sf_dir)
+    whole = r.where("tokens_held > 0").agg(F.sum("target_share").alias("whole"))  # one row
+    goal = F.when(F.col("tokens_held") > 0, F.col("target_share") / F.col("whole")).otherwise(0.0)
+    near = F.abs(F.col("actual_share") - goal) <= 0.001
+    return r.crossJoin(F.broadcast(whole)).select("source", (F.col("tokens_held") > 0).alias("held"), (F.col("most_repeats") <= F.col("max_repeats")).alias("capped"), near.alias("near"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetitive(read_table(spark, sf_dir, "documents"))
 
@@ -81,7 +106,7 @@ def p8_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = (p1_found, p1_cleaned, p2_found, p2_pieces, p2_token_counts, p3_found, p3_uniform, p6_ids, p6_decoded, p7_mix, p7_report, p8_found, p8_repetition)
+    named = (p1_found, p1_cleaned, p2_found, p2_pieces, p2_invariants, p2_token_counts, p3_found, p3_uniform, p6_ids, p6_decoded, p7_mix, p7_report, p7_caps, p8_found, p8_repetition)
     return {f.__name__: f for f in named}
 
 
@@ -97,6 +122,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _P1_LINES + " SELECT DISTINCT section_id, para_pos, line_pos FROM n JOIN c USING (vendor, form)",
         "p2_found": "SELECT DISTINCT plan_id FROM section_plans WHERE (length(markdown) + 3) // 4 > 512",
+        "p2_invariants": "SELECT plan_id, CAST(length(markdown) AS INTEGER) AS covered, true AS fits, true AS overlaps, true AS same FROM section_plans WHERE length(markdown) > 0",
+        "p7_caps": "SELECT source, target_share > 0 AND max_repeats > 0 AND EXISTS (SELECT 1 FROM documents d WHERE d.source = t.source AND length(d.text) > 0) AS held, true AS capped, true AS near FROM mix_targets t",
         "p2_token_counts": "SELECT plan_id, CAST(ceil(max(length(markdown)) / 4.0) AS BIGINT) AS token_count FROM section_plans WHERE length(markdown) > 0 GROUP BY plan_id",
         "p1_cleaned": _P1_LINES
         + """,

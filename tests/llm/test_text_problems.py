@@ -149,6 +149,30 @@ def test_natural_ends_are_preferred():
     assert np.diff(hard).max() == 360
 
 
+def test_paragraphs_fences_tables_and_quotes():
+    def strengths(text):
+        at, kind = splitting.boundary_strengths(np.array(list(map(ord, text)), dtype=np.uint32), np.array([0]))
+        return dict(zip(at.tolist(), kind.tolist(), strict=True))
+
+    assert strengths("a\n\nb") == {2: splitting.LINE, 3: splitting.PARAGRAPH}
+    assert strengths("a\n# b")[2] == splitting.PARAGRAPH
+    assert strengths("|a|\n|b|\nc") == {4: splitting.SENTENCE, 8: splitting.LINE}
+    assert strengths("```\n\nx\n```\ny") == {4: splitting.SENTENCE, 5: splitting.SENTENCE, 7: splitting.SENTENCE, 11: splitting.LINE}
+    assert strengths('Go." Now') == {5: splitting.SENTENCE}
+    assert strengths("(x) y") == {4: splitting.WORD}
+
+
+def test_hard_cuts_keep_letters_whole():
+    text = "e\u0301" * 3001
+    _, start, end = splitting.split_batch([text, "x" * 5000], 100, 9)
+    assert not any(text[e : e + 1] == "\u0301" for e in end[start < 6002] if e < 6002)
+    rng = random.Random(5)
+    for _ in range(30):
+        t = "".join(rng.choice("ab\u0301\u200d\U0001f468") for _ in range(rng.randrange(1, 400)))
+        _, start, end = splitting.split_batch([t], 6, 1)
+        assert start[0] == 0 and end[-1] == len(t) and (end - start).max() <= 24 and all(start[1:] == end[:-1] - 4)
+
+
 def test_split_tables(spark):
     df = spark.createDataFrame([(1, "a" * 10, 5), (2, None, 5), (3, "", 5), (4, "b " * 40, 5), (4, "b " * 40, 5)], "id long, t string, piece_pos int")
     out = splitting.split_pieces(df, "id", "t", 5, 1).collect()

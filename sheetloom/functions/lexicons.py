@@ -97,3 +97,14 @@ CONDITION_HINTS = ["typical values", "unless otherwise noted", "over operating f
 VIEWER_SKIP_TEXTS = ["request full data sheet"]
 VIEWER_SKIP_CLASSES = ["section-label"]
 VIEWER_SECTION_URL = r'/document-viewer/([^/]+)/datasheet/(GUID-[^#\s"]+)'
+
+# Words that make the number before them a quantity.
+UNIT_WORDS = {
+    "ghz", "mhz", "khz", "hz", "dbm", "dbc", "db", "v", "mv", "kv", "uv", "a", "ma", "ua", "ohm", "ω", "kω", "mω", "w", "mw", "lsb", "bits", "s",
+    "ms", "ns", "f", "pf", "uf", "rms", "dbfs", "sps", "msps", "gsps",
+}
+# Words that head the columns of parametric tables, without blanks and signs.
+HEADER_TOKENS = {
+    "min", "max", "typ", "tpy", "nom", "unit", "units", "value", "values", "valuerange", "parameter", "rating", "ratings", "testconditions",
+    "testcondition", "thermal", "thermalmetric", "partno", "partnumber",
+}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sheetloom.functions import lexicons as lx
 from sheetloom.functions.text import detect_doc_type, sniff_revision
 from sheetloom.operators.registrations import plain_hash
+from sheetloom.runtime import sized
 
 
 def dedupe_first(sources: DataFrame, key: Column, order: list[str]) -> DataFrame:
@@ -71,7 +72,7 @@ def latest_stage(events: DataFrame, job: str, stage: str, time: str, tie: str) -
     return events.groupBy(job).agg(F.max_by(F.struct(stage, time), F.struct(time, tie)).alias("_e")).select(job, f"_e.{stage}", f"_e.{time}")
 
 
-def extraction_stats(builds: DataFrame, by: list[str], shown: int = 8) -> DataFrame:
+def extraction_stats(builds: DataFrame, by: list[str]) -> DataFrame:
     """Tables detected, accepted and rejected, and the mean fidelity weighted
     by build (0 without any)."""
     sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tables_detected", "tables_accepted", "tables_rejected")]
@@ -86,7 +87,7 @@ def skip_reason(jobs: DataFrame, published: DataFrame, versions: DataFrame) -> D
     Whatever can't be verified is built."""
     v = versions.select("backend", F.col("pipeline_version").alias("_p"), F.col("output_version").alias("_o"))
     fresh = F.coalesce((F.col("pipeline_version") == F.col("_p")) & (F.col("extractor_version") == F.col("_o")), F.lit(False))
-    docs = published.join(F.broadcast(v.dropDuplicates(["backend"])), "backend", "left").select("part_number", "content_hash", fresh.alias("fresh"))
+    docs = published.join(sized(v.dropDuplicates(["backend"])), "backend", "left").select("part_number", "content_hash", fresh.alias("fresh"))
     parts = docs.groupBy("part_number").agg(F.min("fresh").alias("all_fresh"))
     known = docs.select("part_number", "content_hash").distinct().withColumn("known", F.lit(True))
     out = jobs.join(parts, "part_number", "left").join(known, ["part_number", "content_hash"], "left")

@@ -48,54 +48,51 @@ def best_title(key: str, titles: list[str], cutoff: float = FUZZY_CUTOFF) -> str
 
 def fuzzy_sections(matched: DataFrame, toc: DataFrame, cutoff: float = FUZZY_CUTOFF) -> DataFrame:
     """Tries the titles of the document's outline for sections without a
-    match; each such section meets its own document's titles only."""
+    match. A document's open titles and its outline meet once, in one row."""
     ranges = _last_wins(ranges_from_outline(toc), ["doc_hash", "number"])
     titles = _last_wins(toc.where("number <> ''").select("doc_hash", "pos", norm_title(F.col("title")).alias("title_key"), F.col("number").alias("toc_number")), ["doc_hash", "title_key"])
     titles = titles.join(ranges.withColumnRenamed("number", "toc_number"), ["doc_hash", "toc_number"])
     outline = titles.groupBy("doc_hash").agg(F.collect_list(F.struct("title_key", "page_start", "page_end")).alias("outline"))
-
-    @F.pandas_udf("page_start int, page_end int")
-    def closest(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for keys, outlines in batches:
-            rows = []
-            for key, entries in zip(keys, outlines, strict=True):
-                by_title = {e["title_key"]: e for e in entries} if entries is not None else {}
-                hit = best_title(key, sorted(by_title), cutoff)
-                rows.append((None, None) if hit is None else (by_title[hit]["page_start"], by_title[hit]["page_end"]))
-            yield pd.DataFrame(rows, columns=["page_start", "page_end"]).astype("Int32")
-
-    open_ = matched.where("method is null").join(outline, "doc_hash", "left")
-    open_ = open_.withColumn("hit", closest(F.col("key"), F.col("outline")))
-    found = F.col("hit.page_start").isNotNull()
-    open_ = open_.select(
-        "doc_hash", "sec_pos", "number", "title", "level", "key", F.when(found, "fuzzy").alias("method"), F.col("hit.page_start").alias("page_start"), F.col("hit.page_end").alias("page_end")
-    )
-    return matched.where("method is not null").unionByName(open_)
+    rest = matched.where("method is null")
+    asked = rest.groupBy("doc_hash").agg(F.collect_set("key").alias("asked")).join(outline, "doc_hash")
+
+    @F.pandas_udf("array<struct<key:string,page_start:int,page_end:int>>")
+    def closest(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for asked_, outlines in batches:
+            out = []
+            for keys, entries in zip(asked_, outlines, strict=True):
+                by_title = {e["title_key"]: e for e in entries}
+                ordered = sorted(by_title)
+                hits = [(key, best_title(key, ordered, cutoff)) for key in keys]
+                out.append([{"key": k, "page_start": by_title[h]["page_start"], "page_end": by_title[h]["page_end"]} for k, h in hits if h is not None])
+            yield pd.Series(out, dtype=object)
+
+    hits = asked.select("doc_hash", F.inline(closest(F.col("asked"), F.col("outline"))).alias("key", "a", "b"))
+    met = rest.drop("method", "page_start", "page_end").join(hits, ["doc_hash", "key"], "left")
+    found = F.when(F.col("a").isNotNull(), "fuzzy").alias("method")
+    met = met.select("doc_hash", "sec_pos", "number", "title", "level", "key", found, F.col("a").alias("page_start"), F.col("b").alias("page_end"))
+    return matched.where("method is not null").unionByName(met)
 
 
 def inherit_pages(matched: DataFrame) -> DataFrame:
     """A section without match inherits the range of the last section before
     it that has pages (inherited ones included), if it lies deeper; otherwise
-    it stays ``unmatched``. An ordered fold over a document's sections."""
-    steps = F.array_sort(F.collect_list(F.struct("sec_pos", "number", "title", "level", "method", "page_start", "page_end")))
-
-    def fold(state: Column, s: Column) -> Column:
-        last = state["last"]
-        has = s["page_start"].isNotNull()
-        inherits = ~has & last.isNotNull() & (s["level"] > last["level"])
-        start = F.when(has, s["page_start"]).when(inherits, last["page_start"]).cast("int")
-        end = F.when(has, s["page_end"]).when(inherits, last["page_end"]).cast("int")
-        method = F.when(has, s["method"]).when(inherits, "inherited").otherwise("unmatched")
-        row = F.struct(s["sec_pos"].alias("sec_pos"), s["number"].alias("number"), s["title"].alias("title"), method.alias("method"), start.alias("page_start"), end.alias("page_end"))
-        now = F.when(start.isNotNull(), F.struct(s["level"].cast("int").alias("level"), start.alias("page_start"), end.alias("page_end"))).otherwise(last)
-        return F.struct(now.alias("last"), F.array_append(state["rows"], row).alias("rows"))
-
-    start = F.struct(
-        F.lit(None).cast("struct<level:int,page_start:int,page_end:int>").alias("last"),
-        F.array().cast("array<struct<sec_pos:int,number:string,title:string,method:string,page_start:int,page_end:int>>").alias("rows"),
-    )
-    done = matched.groupBy("doc_hash").agg(steps.alias("steps")).select("doc_hash", F.inline(F.aggregate("steps", start, fold)["rows"]))
-    return done
+    it stays ``unmatched``. Between two matched sections the inherited range is
+    always that of the first, and the level to be deeper than only grows with
+    each section that inherits: so a section inherits if it is deeper than the
+    last matched one and all sections between either inherit or lie above it."""
+    order = Window.partitionBy("doc_hash").orderBy("sec_pos")
+    has = F.col("page_start").isNotNull()
+    marked = matched.withColumn("_group", F.count(F.when(has, 1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    inner = Window.partitionBy("doc_hash", "_group").orderBy("sec_pos")
+    # within a group the level to beat is a running maximum of what inherited, beginning with the matched section's
+    reached = F.max("level").over(inner.rowsBetween(Window.unboundedPreceding, -1))
+    first = F.first(F.struct("level", "page_start", "page_end")).over(inner.rowsBetween(Window.unboundedPreceding, 0))
+    out = marked.withColumns({"_first": first, "_reached": reached})
+    inherits = ~has & F.col("_first.page_start").isNotNull() & (F.col("level") > F.col("_reached"))
+    method = F.when(has, F.col("method")).when(inherits, "inherited").otherwise("unmatched")
+    start, end = (F.when(has, F.col(c)).when(inherits, F.col(f"_first.{c}")).cast("int").alias(c) for c in ("page_start", "page_end"))
+    return out.select("doc_hash", "sec_pos", "number", "title", method.alias("method"), start, end)
 
 
 def assign_pages(sections: DataFrame, toc: DataFrame, cutoff: float = FUZZY_CUTOFF) -> DataFrame:

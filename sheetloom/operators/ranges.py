@@ -4,21 +4,28 @@ level comes from one sorted window, without a self-join."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Headings are at most so deep; deeper ones count as this deep.
-MAX_LEVEL = 16
+#: Levels beyond this are replaced by their rank within the document.
+PLAIN_LEVELS = 16
 
 
-def next_page_up(doc: str, pos: str, level: str, page: str) -> Column:
-    """Page of the next entry of the same or a higher level in the document.
-    The window runs backwards, so each frame only grows."""
+def with_next_page_up(toc: DataFrame, doc: str, pos: str, level: str, page: str) -> DataFrame:
+    """toc with ``up``: the page of the next entry of the same or a higher
+    level in the document. One window runs backwards with a running value for
+    each level that occurs, so frames only grow; levels are ranked first where
+    they are large, so that there are as many values as one document has
+    different levels."""
+    depth = F.col(level)
+    lowest, most = toc.agg(F.min(level), F.max(level)).first()
+    if most is not None and (most > PLAIN_LEVELS or lowest < 1):
+        toc = toc.withColumn("_depth", F.dense_rank().over(Window.partitionBy(doc).orderBy(level)))
+        depth, most = F.col("_depth"), toc.agg(F.max("_depth")).first()[0]
     behind = Window.partitionBy(doc).orderBy(F.col(pos).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    depth = F.least(F.col(level), F.lit(MAX_LEVEL))
-    by_level = [F.last(F.when(depth <= n, F.col(page)), ignorenulls=True).over(behind) for n in range(1, MAX_LEVEL + 1)]
-    return F.get(F.array(*by_level), F.greatest(depth, F.lit(1)) - 1)
+    by_level = [F.last(F.when(depth <= n, F.col(page)), ignorenulls=True).over(behind) for n in range(1, (most or 1) + 1)]
+    return toc.withColumn("up", F.get(F.array(*by_level), depth - 1)).drop("_depth")
 
 
 def ranges_from_outline(toc: DataFrame, doc: str = "doc_hash", pos: str = "pos") -> DataFrame:
@@ -26,7 +33,8 @@ def ranges_from_outline(toc: DataFrame, doc: str = "doc_hash", pos: str = "pos")
     page. A range ends before the next numbered, paged entry of the same or a
     higher level, never before its start; the last one ends on its own page."""
     kept = toc.where("number <> '' and page is not null")
-    end = F.coalesce(F.greatest(F.col("page"), next_page_up(doc, pos, "level", "page") - 1), F.col("page"))
+    kept = with_next_page_up(kept, doc, pos, "level", "page")
+    end = F.coalesce(F.greatest(F.col("page"), F.col("up") - 1), F.col("page"))
     return kept.select(doc, pos, "number", F.col("page").alias("page_start"), end.alias("page_end"))
 
 
@@ -34,7 +42,7 @@ def ranges_to_document_end(toc: DataFrame, last_pages: DataFrame, doc: str = "do
     """(doc, pos, level, page_start, page_end) of entries with a page. Like
     ranges_from_outline, but unnumbered entries take part and the last entry of
     a level ends with the document (last_pages: doc, last_page)."""
-    kept = toc.where("page is not null").withColumn("up", next_page_up(doc, pos, "level", "page"))
+    kept = with_next_page_up(toc.where("page is not null"), doc, pos, "level", "page")
     joined = kept.join(last_pages, doc, "left")
     end = F.greatest(F.col("page"), F.coalesce(F.col("up") - 1, F.col("last_page")))
     return joined.select(doc, pos, "level", F.col("page").alias("page_start"), end.alias("page_end"))

@@ -80,6 +80,20 @@ def cell_for_role(row: Column, roles: Column, role: str) -> Column:
     return F.coalesce(F.get(F.filter(pairs, lambda x: (x["r"] == role) & (strip(x["c"]) != "")), F.lit(0))["c"], F.lit(""))
 
 
+RECORD_ROLES = ("symbol", "name", "conditions", "min", "typ", "max", "value", "unit")
+
+
+def _places_of(roles: Column, role: str) -> Column:
+    indexed = F.transform(roles, lambda r, i: F.when(r == role, i))
+    return F.filter(indexed, lambda i: i.isNotNull())
+
+
+def _first_filled(row: Column, places: Column) -> Column:
+    """The first cell at one of the places that isn't blank, else ''."""
+    cells = F.transform(places, lambda i: F.get(row, i))
+    return F.coalesce(F.get(F.filter(cells, lambda c: strip(F.coalesce(c, F.lit(""))) != ""), F.lit(0)), F.lit(""))
+
+
 def cited_markers(row: Column, footnotes: Column) -> Column:
     """Markers of the table's footnotes that stand in the row, then other
     numbers in parentheses (these as often as they occur)."""
@@ -101,9 +115,11 @@ def spec_records(tables: DataFrame) -> DataFrame:
     """One record per row that isn't blank, of tables of every kind; the row
     index is the row's place in the grid. The page is the row's, else the
     table's. Null cells are empty."""
-    t = spec_tables(tables).select("table_id", "doc_hash", "part_number", "section", "table_index", "conditions", "footnotes", "page", "row_pages", "roles", F.posexplode("grid").alias("row_index", "_row"))
+    # where a role's cells stand is found once per table
+    places = F.struct(*[_places_of(F.col("roles"), r).alias(r) for r in RECORD_ROLES])
+    t = spec_tables(tables).withColumn("_places", places).select("table_id", "doc_hash", "part_number", "section", "table_index", "conditions", "footnotes", "page", "row_pages", "_places", F.posexplode("grid").alias("row_index", "_row"))
     t = t.withColumn("_row", F.transform("_row", lambda c: F.coalesce(c, F.lit("")))).where(not_blank(F.col("_row")))
-    cell = {r: cell_for_role(F.col("_row"), F.col("roles"), r) for r in ("symbol", "name", "conditions", "min", "typ", "max", "value", "unit")}
+    cell = {r: _first_filled(F.col("_row"), F.col("_places")[r]) for r in RECORD_ROLES}
     notes = F.coalesce(F.col("footnotes"), F.array().cast("array<struct<marker:string,text:string>>"))
     unit = canonical_unit(cell["unit"])
     return t.select(

@@ -84,29 +84,32 @@ def verify_specs(questions: DataFrame, specs: DataFrame) -> DataFrame:
     """(question_id, passed) of questions with a spec_query: among the
     document's records that match all of its fields and stand on a cited page,
     each expected substring must be in one."""
-    asked = questions.where("spec_query is not null").select("question_id", "doc_hash", "spec_query", "pages", F.explode_outer("expected_substrings").alias("sub"))
+    asked = questions.where("spec_query is not null").select("question_id", "doc_hash", "spec_query", F.col("expected_substrings").alias("subs"), F.explode_outer(F.array_distinct("pages")).alias("page"))
     q = {k: F.lower(_entry("spec_query", k)) for k in ("symbol", "name", "section")}
     text = spec_fields(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("symbol", "name", "conditions", "table_conditions", "min", "typ", "max", "value", "unit")])
-    records = specs.select("doc_hash", *[F.lower(F.coalesce(c, F.lit(""))).alias(f"_{c}") for c in q], F.col("page").alias("_page"), text.alias("_text"))
-    hit = F.array_contains("pages", F.col("_page"))
+    records = specs.select("doc_hash", "page", *[F.lower(F.coalesce(c, F.lit(""))).alias(f"_{c}") for c in q], text.alias("_text"))
+    hit = F.col("_text").isNotNull()
     for k, needle in q.items():
         hit = hit & F.contains(F.col(f"_{k}"), needle)
-    met = asked.join(records.withColumn("_known", F.lit(True)), (asked["doc_hash"] == records["doc_hash"]) & hit, "left")
-    per_sub = met.groupBy("question_id", "sub").agg(F.max(F.coalesce(F.col("_known") & (F.col("sub").isNull() | contains(F.col("_text"), F.col("sub"))), F.lit(False))).alias("ok"))
-    return per_sub.groupBy("question_id").agg(F.min("ok").alias("passed"))
+    # records meet the questions of their page only
+    met = asked.join(records, ["doc_hash", "page"], "left")
+    subs = F.when(F.size("subs") > 0, F.col("subs")).otherwise(F.array(F.lit(None).cast("string")))
+    per_sub = met.select("question_id", hit.alias("hit"), "_text", F.explode(subs).alias("sub"))
+    ok = F.coalesce(F.col("hit") & (F.col("sub").isNull() | contains(F.col("_text"), F.col("sub"))), F.lit(False))
+    return per_sub.groupBy("question_id", "sub").agg(F.max(ok).alias("ok")).groupBy("question_id").agg(F.min("ok").alias("passed"))
 
 
 def verify_plots(questions: DataFrame, plots: DataFrame) -> DataFrame:
     """(question_id, found) of questions with a plot_query: whether a plot of
     the document matches its caption, conditions and section and begins on a
     cited page."""
-    asked = questions.where("plot_query is not null").select("question_id", "doc_hash", "plot_query", "pages")
+    asked = questions.where("plot_query is not null").select("question_id", "doc_hash", "plot_query", F.explode_outer(F.array_distinct("pages")).alias("page"))
     q = {k: _entry("plot_query", k) for k in ("caption_contains", "conditions_contain", "section")}
-    p = plots.select("doc_hash", F.lower("caption").alias("_c"), F.lower("conditions").alias("_d"), F.col("section").alias("_s"), F.col("page_start").alias("_p"))
+    p = plots.select("doc_hash", F.col("page_start").alias("page"), F.lower("caption").alias("_c"), F.lower("conditions").alias("_d"), F.col("section").alias("_s"))
     hit = F.contains(F.col("_c"), F.lower(q["caption_contains"])) & F.contains(F.col("_d"), F.lower(q["conditions_contain"]))
-    hit = hit & ((q["section"] == "") | (q["section"] == F.col("_s"))) & F.array_contains("pages", F.col("_p"))
-    met = asked.join(p, (asked["doc_hash"] == p["doc_hash"]) & hit, "left")
-    return met.groupBy("question_id").agg(F.max(F.col("_c").isNotNull()).alias("found"))
+    hit = hit & ((q["section"] == "") | (q["section"] == F.col("_s")))
+    met = asked.join(p, ["doc_hash", "page"], "left")
+    return met.groupBy("question_id").agg(F.max(F.coalesce(hit, F.lit(False))).alias("found"))
 
 
 def verification_report(results: DataFrame, questions: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ tables, partitioned by part, and the text artifacts people read.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -246,11 +247,11 @@ def run_batch(spark: SparkSession, docs: Documents, out: str, log: EventLog, bud
     published by today's versions (all, if forced) and logs each part's way."""
     gate = parts_to_build(spark, docs.sources, out)
     gate = staged(gate.withColumn("skip", F.lit(False)) if force else gate, "gate")
-    jobs = {p: i for i, (p,) in enumerate(gate.select("part_number").orderBy("part_number").collect(), 1)}
-    log.total = len(jobs)
-    log.emit("header", jobs=[{"job": i, "part": p} for p, i in jobs.items()])
+    # parts are numbered as their events come; none but the one at hand is on the driver
+    log.total, job = gate.count(), count(1)
+    log.emit("header", jobs=log.total)
     for (part,) in gate.where("skip").select("part_number").orderBy("part_number").toLocalIterator():
-        log.emit("skipped", jobs[part], part, "already built by these versions")
+        log.emit("skipped", next(job), part, "already built by these versions")
     todo = gate.where("not skip").select("part_number")
     result = gate.where("skip").select("part_number", F.lit("skipped").alias("status"), F.lit(None).cast("string").alias("error"))
     if not todo.isEmpty():
@@ -258,6 +259,6 @@ def run_batch(spark: SparkSession, docs: Documents, out: str, log: EventLog, bud
         stats = build(spark, wanted, out, budget, lambda stage: log.emit(stage), cache)
         built = stats.select("part_number", F.when(F.col("failed_documents") > 0, "failed").otherwise("done").alias("status"), "error")
         for r in built.orderBy("part_number").toLocalIterator():
-            log.emit(r.status, jobs[r.part_number], r.part_number, r.error or "")
+            log.emit(r.status, next(job), r.part_number, r.error or "")
         result = result.unionByName(built)
     return result

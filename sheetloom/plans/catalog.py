@@ -22,7 +22,7 @@ from sheetloom.operators import tables as tb
 from sheetloom.operators import verify as vf
 from sheetloom.operators.registrations import plain_hash, plain_path
 from sheetloom.plans import views as v
-from sheetloom.runtime import read_table, staged
+from sheetloom.runtime import numbered, read_table, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -212,8 +212,8 @@ def plain_sections(spark, d):
     """Page texts without contents: one section per page."""
     from sheetloom.operators.plain import plain_sections as plain
 
-    page = F.row_number().over(Window.partitionBy("doc_hash").orderBy("doc_id"))
-    pages = read_table(spark, d, "documents").select(F.coalesce("source", F.lit("")).alias("doc_hash"), "doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("page", page)
+    pages = read_table(spark, d, "documents").select(F.coalesce("source", F.lit("")).alias("doc_hash"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    pages = numbered(pages, "doc_hash", "doc_id", "page")
     toc = spark.createDataFrame([], "doc_hash string, pos int, number string, title string, level int, page int")
     return plain(pages.select("doc_hash", "page", "text"), toc).select("doc_hash", "sec_pos", "title", "page_start")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sheetloom.functions.text import split_number
 from sheetloom.operators.inventory import dedupe_first
-from sheetloom.runtime import read_table
+from sheetloom.runtime import numbered, read_table
 
 
 def unique_sections(spark: SparkSession, d: str, *columns: str) -> DataFrame:
@@ -73,11 +73,8 @@ def figures(spark: SparkSession, d: str) -> DataFrame:
 def document_lines(spark: SparkSession, d: str) -> DataFrame:
     """lines(doc_hash, page, line_no, x, y, block, text): the documents of one
     source and language are the pages of one document, numbered by id."""
-    from pyspark.sql.window import Window
-
     docs = read_table(spark, d, "documents").where("text is not null").select(F.concat_ws("/", "source", "lang").alias("doc_hash"), "doc_id", "text")
-    page = F.row_number().over(Window.partitionBy("doc_hash").orderBy("doc_id"))
-    lines = docs.withColumn("page", page).select("doc_hash", "page", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
+    lines = numbered(docs, "doc_hash", "doc_id", "page").select("doc_hash", "page", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
     return lines.select("doc_hash", "page", "line_no", F.lit(90.0).alias("x"), (F.col("line_no") * 13.0).alias("y"), F.expr("line_no div 3").alias("block"), "text")
 
 

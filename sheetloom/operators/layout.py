@@ -14,9 +14,13 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from sheetloom.functions import lexicons as lx
@@ -42,41 +46,6 @@ LAYOUT = (
 )
 
 
-def cluster_lefts(df: DataFrame, by: str, value: str, tie: str, gap: float) -> DataFrame:
-    """(by, cluster, left_edge, n): single-linkage clusters of a value; a
-    cluster ends where the next value is gap or more away. Edges are exact
-    minima."""
-    w = Window.partitionBy(by).orderBy(value, tie)
-    starts = F.when(F.col(value) - F.lag(value).over(w) < gap, 0).otherwise(1)
-    numbered = df.where(F.col(value).isNotNull()).select(by, value, tie, starts.alias("_new")).withColumn("cluster", F.sum("_new").over(w))
-    return numbered.groupBy(by, "cluster").agg(F.min(value).alias("left_edge"), F.count(F.lit(1)).alias("n"))
-
-
-def greedy_groups(df: DataFrame, reach: int) -> DataFrame:
-    """(key, anchor, n) of df(key, at, tie): values of a key in order; one
-    joins the open group if it lies within reach of where that group began.
-    Batches are read in key order and only the open group is kept, so a key
-    may have any number of rows."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key = anchor = None
-        n = 0
-        for batch in batches:
-            out = []
-            for k, at in zip(batch["key"].tolist(), batch["at"].tolist(), strict=True):
-                if n and k == key and at - anchor <= reach:
-                    n += 1
-                    continue
-                if n:
-                    out.append((key, anchor, n))
-                key, anchor, n = k, at, 1
-            yield pd.DataFrame(out, columns=["key", "anchor", "n"])
-        if n:
-            yield pd.DataFrame([(key, anchor, n)], columns=["key", "anchor", "n"])
-
-    rows = df.where("key is not null and at is not null").repartition("key").sortWithinPartitions("key", "at", "tie")
-    return rows.select("key", "at").mapInPandas(run, "key long, anchor long, n long")
-
-
 @dataclass
 class Entry:
     number: str
@@ -419,20 +388,43 @@ def extract_layout(page_spans: DataFrame, page_drawings: DataFrame, toc: DataFra
         return df.select("doc_hash", F.lit(name).alias("kind"), *[(F.col(c) if c in own else F.lit(None)).cast(types[c]).alias(c) for c in columns])
 
     rows = kind(page_spans, "span", _SPAN).unionByName(kind(page_drawings, "box", _BOX)).unionByName(kind(toc, "toc", _TOC))
-    names = [f.split(" ", 1)[0] for f in LAYOUT.split(", ")]
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(doc_hash: str, pdf: pd.DataFrame) -> list[dict]:
         entries = [
             Entry(t.number or "", t.title or "", int(t.level), None if pd.isna(t.page) else int(t.page))
             for t in pdf[pdf.kind == "toc"].sort_values("pos").itertuples(index=False)
         ]
         try:
-            out = list(extract_document(key[0], pdf.loc[pdf.kind == "span", _SPAN], pdf.loc[pdf.kind == "box", _BOX], entries))
+            return list(extract_document(doc_hash, pdf.loc[pdf.kind == "span", _SPAN], pdf.loc[pdf.kind == "box", _BOX], entries))
         except Exception as e:  # noqa: BLE001 - one broken document must not end the others' job
-            out = [{"doc_hash": key[0], "error": f"{type(e).__name__}: {e}"}]
-        return pd.DataFrame([[row.get(n) for n in names] for row in out], columns=names, dtype=object)
+            return [{"doc_hash": doc_hash, "error": f"{type(e).__name__}: {e}"}]
+
+    schema = to_arrow_schema(StructType.fromDDL(LAYOUT))
+
+    def packed(found: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([{name: row.get(name) for name in schema.names} for row in found], schema=schema)
 
-    return rows.groupBy("doc_hash").applyInPandas(run, LAYOUT)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows come document by document; only the open one is held
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            pdf = batch.to_pandas()
+            keys = pdf.doc_hash.to_numpy()
+            cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+            parts = [pdf.iloc[i:j] for i, j in zip([0, *cuts], [*cuts, len(pdf)], strict=True)] if len(pdf) else []
+            out = []
+            for part in parts:
+                if held and held[0].doc_hash.iloc[0] != part.doc_hash.iloc[0]:
+                    out += one(held[0].doc_hash.iloc[0], pd.concat(held) if len(held) > 1 else held[0])
+                    held = []
+                held.append(part)
+            if out:
+                yield packed(out)
+        if held:
+            yield packed(one(held[0].doc_hash.iloc[0], pd.concat(held)))
+
+    # a fixed number of tasks: the work is far larger than the bytes by which partitions would be put together
+    tasks = int(page_spans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.where("doc_hash is not null").repartition(tasks, "doc_hash").sortWithinPartitions("doc_hash").mapInArrow(run, LAYOUT)
 
 
 def figure_anchors(lines: DataFrame, boxes: DataFrame | None = None) -> DataFrame:

@@ -608,11 +608,6 @@ def vendor_detect(spark, d):
     return read_table(spark, d, "documents").select("doc_id", inv.vendor_of(F.col("text"), F.col("source"))["vendor"].alias("vendor"))
 
 
-@query("SELECT source_id, CASE WHEN doc_type <> 'datasheet' THEN 'pdf_text' ELSE 'pdf_layout' END AS backend FROM sources")
-def backend_select(spark, d):
-    return read_table(spark, d, "sources").select("source_id", inv.backend_of(F.lit("adi"), F.col("doc_type"), ["pdf_layout", "pdf_text", "ti_html"]).alias("backend"))
-
-
 _CHAINS = " ".join(f"WHEN vendor = '{n}' THEN '{chain[0]}'" for n, _, chain in lx.VENDOR_PROFILES)
 
 
@@ -680,39 +675,6 @@ def corpus_stats(spark, d):
     )
 
 
-# --- ordered folds -----------------------------------------------------------------------------------------------------------
-
-
-@query("""WITH g AS (SELECT event_type, value, CASE WHEN value - lag(value) OVER (PARTITION BY event_type ORDER BY value, event_id) < 0.05 THEN 0 ELSE 1 END AS new, event_id FROM events),
-c AS (SELECT event_type, value, sum(new) OVER (PARTITION BY event_type ORDER BY value, event_id) AS c FROM g)
-SELECT event_type, c AS cluster, min(value) AS left_edge, count(*) AS n FROM c GROUP BY ALL""")
-def cluster_lefts(spark, d):
-    from sheetloom.operators.layout import cluster_lefts as clusters
-
-    return clusters(read_table(spark, d, "events"), "event_type", "value", "event_id", 0.05)
-
-
-@query("""WITH g AS (SELECT user_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events), l AS (SELECT user_id, list_sort(list(gap)) AS g FROM g WHERE gap > 2 GROUP BY user_id)
-SELECT user_id, g[len(g) // 2 + 1] AS pitch FROM l""")
-def row_pitch(spark, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    gaps = read_table(spark, d, "events").select("user_id", "ts", "event_id", us.alias("us")).withColumn("gap", F.col("us") - F.lag("us").over(w)).where("gap > 2")
-    at = Window.partitionBy("user_id")
-    ranked = gaps.withColumns({"i": F.row_number().over(at.orderBy("gap")), "n": F.count(F.lit(1)).over(at)})
-    return ranked.where("i = n div 2 + 1").select("user_id", F.col("gap").alias("pitch"))
-
-
-@query()
-def greedy_rows(spark, d):
-    """Rows of events by anchored greedy grouping: an ordered fold per user."""
-    from sheetloom.operators.layout import greedy_groups
-
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    ev = read_table(spark, d, "events").select(F.col("user_id").alias("key"), micros.alias("at"), F.col("event_id").alias("tie"))
-    return greedy_groups(ev, 3_600_000_000)
-
-
 # --- rendered sections and the index -----------------------------------------------------------------------------------------
 
 

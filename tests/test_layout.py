@@ -3,7 +3,7 @@
 import pandas as pd
 
 from sheetloom.operators import reconstruct as rc
-from sheetloom.operators.layout import Entry, cluster_lefts, entry_ranges, extract_document, extract_layout, figure_anchors, printed_toc, read_pages
+from sheetloom.operators.layout import Entry, entry_ranges, extract_document, extract_layout, figure_anchors, printed_toc, read_pages
 
 LEFTS = [56, 222, 435, 460, 515, 548]
 HEADER = ["Parameter", "Test Conditions", "Min", "Typ", "Max", "Unit"]
@@ -169,9 +169,7 @@ def test_documents_run_in_one_job(spark):
     assert extract_layout(a.limit(0), b, toc.limit(0)).count() == 0
 
 
-def test_lateral_clusters_and_figure_clips(spark):
-    df = spark.createDataFrame([("d", 1.0, 1), ("d", 1.5, 2), ("d", 9.0, 3), ("d", None, 4)], "doc string, x double, id int")
-    assert sorted(map(tuple, cluster_lefts(df, "doc", "x", "id", 2.0).select("left_edge", "n").collect())) == [(1.0, 2), (9.0, 1)]
+def test_figure_clips(spark):
     lines = [("d", 1, i, x, y, t) for i, (x, y, t) in enumerate([(50.0, 200.0, "Figure 1. A"), (300.0, 205.0, "Figure 2. B"), (300.0, 206.0, "no figure"), (50.0, 400.0, "Figure 3: C")])]
     rows = figure_anchors(spark.createDataFrame(lines, "doc_hash string, page int, line_no int, x double, y double, text string")).collect()
     assert sorted((r.key, r.y0, r.y1) for r in rows) == [("figure1a", 0.0, 200.0), ("figure2b", 0.0, 205.0), ("figure3c", 217.0, 400.0)]

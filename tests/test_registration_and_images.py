@@ -5,7 +5,6 @@ from sheetloom.operators import figures as fg
 from sheetloom.operators import html
 from sheetloom.operators import index as ix
 from sheetloom.operators import inventory as inv
-from sheetloom.operators.layout import greedy_groups
 from sheetloom.operators.plain import plain_sections
 from sheetloom.runtime import shared_dir, sized, spread, staged
 from sheetloom.sources import decode
@@ -80,12 +79,6 @@ def test_the_viewer_path(spark):
     assert (r.number, r.title, r.level, r.paragraphs, r.method, r.page_start, r.page_end) == ("4.1", "Limits", 2, ["Text"], "exact", 7, 7)
 
 
-def test_greedy_groups_are_anchored(spark):
-    rows = [(1, t, i) for i, t in enumerate([0, 9, 11, 19, 40])] + [(2, 5, 9), (None, 1, 10), (3, None, 11)]
-    got = greedy_groups(spark.createDataFrame(rows, "key long, at long, tie int"), 10).collect()
-    assert sorted(map(tuple, got)) == [(1, 0, 2), (1, 11, 2), (1, 40, 1), (2, 5, 1)]
-
-
 def test_without_a_pdf_library_decoding_says_so(spark):
     files = spark.createDataFrame([("h", b"%PDF")], "content_hash string, content binary")
     if decode.available():

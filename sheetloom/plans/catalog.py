@@ -124,15 +124,22 @@ def doc_type_priority(spark, d):
     return read_table(spark, d, "sources").select("source_id", tx.detect_doc_type(F.col("path")).alias("kind"))
 
 
-@query(r"""WITH r AS (SELECT doc_id, regexp_extract_all(text, '\bRev[.\s]*([A-Z][A-Z0-9]?|\d{1,3})', 1) AS revs, regexp_extract(text, '\bS[A-Z]{2}[A-Z0-9]*\d[A-Z0-9]*\b') AS id FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, CASE WHEN len(revs) > 0 THEN 'Rev. ' || revs[len(revs)] ELSE id END AS revision FROM r""")
+@query(r"""WITH p AS (SELECT doc_id, unnest([substr(text, 1, 40), substr(text, 41, 400), text, 'Rev. Z9']) AS t, unnest([1, 2, 3, 4]) AS i FROM documents WHERE text IS NOT NULL),
+r AS (SELECT doc_id, i, regexp_extract_all(t, '\bRev[.\s]*([A-Z][A-Z0-9]?|\d{1,3})', 1) AS revs, regexp_extract(t, '\bS[A-Z]{2}[A-Z0-9]*\d[A-Z0-9]*\b') AS id FROM p WHERE i <= 3),
+f AS (SELECT doc_id, i, CASE WHEN len(revs) > 0 THEN 'Rev. ' || revs[len(revs)] ELSE id END AS revision FROM r)
+SELECT doc_id, coalesce(arg_min(revision, i) FILTER (WHERE revision <> ''), '') AS revision FROM f GROUP BY doc_id""")
 def sniff_revision(spark, d):
-    return read_table(spark, d, "documents").where("text is not null").select("doc_id", tx.sniff_revision(F.array("text")).alias("revision"))
+    pages = F.array(F.substring("text", 1, 40), F.substring("text", 41, 400), F.col("text"), F.lit("Rev. Z9"))
+    return read_table(spark, d, "documents").where("text is not null").select("doc_id", tx.sniff_revision(pages).alias("revision"))
 
 
-@query("""SELECT source_id, substr(sha1(path), 1, 16) || '.html' AS cache_name, substr(sha1(path), 1, 16) || '.bin' AS binary_name FROM sources""")
+@query("""WITH s AS (SELECT source_id, CASE source_id % 4 WHEN 0 THEN '.GIF' WHEN 1 THEN '.png' WHEN 2 THEN '.exe' ELSE '' END AS e, path FROM sources),
+u AS (SELECT source_id, e, path || e AS u FROM s)
+SELECT source_id, substr(sha1(u), 1, 16) || '.html' AS cache_name, substr(sha1(u), 1, 16) || CASE WHEN e IN ('.GIF', '.png') THEN lower(e) ELSE '.bin' END AS binary_name FROM u""")
 def cache_names(spark, d):
-    return read_table(spark, d, "sources").select("source_id", tx.cache_name(F.col("path")).alias("cache_name"), tx.binary_cache_name(F.col("path")).alias("binary_name"))
+    n = F.col("source_id") % 4
+    url = F.concat("path", F.when(n == 0, ".GIF").when(n == 1, ".png").when(n == 2, ".exe").otherwise(""))
+    return read_table(spark, d, "sources").select("source_id", tx.cache_name(url).alias("cache_name"), tx.binary_cache_name(url).alias("binary_name"))
 
 
 @query("""SELECT section_id, CASE WHEN page_start IS NULL THEN '?' WHEN page_end IS NOT NULL AND page_end <> 0 AND page_end <> page_start
@@ -179,12 +186,15 @@ def document_folders(spark, d):
     return read_table(spark, d, "sources").select("source_id", tx.doc_dir_name(F.col("doc_type"), plain_hash(F.col("content_hash"))).alias("folder"))
 
 
-@query(r"""WITH t AS (SELECT doc_id, lower(text) AS t FROM documents WHERE text IS NOT NULL),
-n AS (SELECT doc_id, unnest(regexp_extract_all(t, '(\d+(?:\.\d+)?)\s*(mhz|ghz)', 1)) AS n, unnest(regexp_extract_all(t, '(\d+(?:\.\d+)?)\s*(mhz|ghz)', 2)) AS u FROM t),
-m AS (SELECT doc_id, count(DISTINCT CAST(n AS DOUBLE) * CASE u WHEN 'ghz' THEN 1000.0 ELSE 1.0 END) AS k FROM n GROUP BY doc_id)
-SELECT t.doc_id, coalesce(m.k, 0) + CAST(regexp_matches(t, '\btx\b') AS INTEGER) + CAST(regexp_matches(t, '\brx\b') AS INTEGER) + CAST(regexp_matches(t, '\bfb\b') AS INTEGER) + CAST(regexp_matches(t, '\bpll\b|\bclock\b') AS INTEGER) AS n_tags FROM t LEFT JOIN m USING (doc_id)""")
+_PATH_TAGS = "[" + ", ".join(f"CASE WHEN regexp_matches(text, '(?i){p}') THEN '{t}' END" for t, p in lx.SECTION_TAGS) + "]"
+
+
+@query(rf"""WITH t AS (SELECT doc_id, text, lower(text) AS t FROM documents WHERE text IS NOT NULL),
+n AS (SELECT doc_id, unnest(regexp_extract_all(t, '{lx.FREQUENCY}', 1)) AS n, unnest(regexp_extract_all(t, '{lx.FREQUENCY}', 2)) AS u FROM t),
+m AS (SELECT doc_id, list(DISTINCT CASE WHEN f = floor(f) THEN CAST(CAST(f AS BIGINT) AS VARCHAR) ELSE CAST(f AS VARCHAR) END || 'mhz') AS ms FROM (SELECT doc_id, CAST(n AS DOUBLE) * CASE u WHEN 'ghz' THEN 1000.0 ELSE 1.0 END AS f FROM n) GROUP BY doc_id)
+SELECT t.doc_id, array_to_string(list_sort(list_concat(list_filter({_PATH_TAGS}, x -> x IS NOT NULL), coalesce(ms, []))), ',') AS tags FROM t LEFT JOIN m USING (doc_id)""")
 def section_tags(spark, d):
-    return read_table(spark, d, "documents").where("text is not null").select("doc_id", F.size(tx.section_tags(F.col("text"))).cast("long").alias("n_tags"))
+    return read_table(spark, d, "documents").where("text is not null").select("doc_id", F.array_join(F.array_sort(tx.section_tags(F.col("text"))), ",").alias("tags"))
 
 
 @query("SELECT table_id, " + " OR ".join(f"contains(lower(conditions), '{h}')" for h in lx.CONDITION_HINTS) + " AS is_conditions FROM table_blocks")
@@ -242,20 +252,22 @@ def plain_outline_sections(spark, d):
 _BOILER = " OR ".join(rf"regexp_matches({_strip('line')}, '{p}')" for p in lx.BOILERPLATE_PATTERNS)
 
 
-@query(rf"""WITH p AS (SELECT section_id, unnest(paragraphs) AS para FROM sections), l AS (SELECT section_id, unnest(regexp_split_to_array(para, '\r?\n')) AS line FROM p WHERE para IS NOT NULL)
-SELECT section_id, count(*) FILTER (WHERE {_BOILER}) AS removed, count(*) AS lines FROM l GROUP BY section_id""")
+@query(rf"""WITH p AS (SELECT section_id, unnest(paragraphs) AS para, generate_subscripts(paragraphs, 1) AS i FROM sections),
+l AS (SELECT section_id, i, unnest(regexp_split_to_array(para, '\r?\n')) AS line, generate_subscripts(regexp_split_to_array(para, '\r?\n'), 1) AS j FROM p WHERE para IS NOT NULL)
+SELECT section_id, count(*) FILTER (WHERE {_BOILER}) AS removed, count(*) AS lines, coalesce(string_agg(line, chr(10) ORDER BY i, j) FILTER (WHERE NOT ({_BOILER})), '') AS kept FROM l GROUP BY section_id""")
 def boilerplate_strip(spark, d):
     lines = F.filter(F.flatten(F.transform(F.filter("paragraphs", lambda p: p.isNotNull()), lambda p: F.split(p, r"\R"))), lambda x: x.isNotNull())
-    out = read_table(spark, d, "sections").withColumn("ls", lines).where("size(ls) > 0")
-    return out.select("section_id", (F.size("ls") - F.size(fu.kept_lines(F.col("ls")))).alias("removed"), F.size("ls").alias("lines"))
+    out = read_table(spark, d, "sections").withColumn("ls", lines).where("size(ls) > 0").withColumn("kept", fu.kept_lines(F.col("ls")))
+    return out.select("section_id", (F.size("ls") - F.size("kept")).alias("removed"), F.size("ls").alias("lines"), F.array_join("kept", "\n").alias("kept"))
 
 
-@query(rf"""WITH l0 AS (SELECT doc_hash, page, unnest(regexp_split_to_array(text, '\r\n|[\x0b\x0c\r\x{{85}}\x{{2028}}\x{{2029}}]')) AS t0 FROM document_lines),
-l AS (SELECT doc_hash, page, {_strip('t0')} AS t FROM l0)
-SELECT doc_hash, page, count(*) AS n, sum(length(t)) AS chars FROM l WHERE t <> '' AND t <> CAST(page AS VARCHAR) GROUP BY ALL""")
+@query(rf"""WITH l0 AS (SELECT doc_hash, page, line_no, unnest(regexp_split_to_array(text, '\r\n|[\x0b\x0c\r\x{{85}}\x{{2028}}\x{{2029}}]')) AS t0, generate_subscripts(regexp_split_to_array(text, '\r\n|[\x0b\x0c\r\x{{85}}\x{{2028}}\x{{2029}}]'), 1) AS i FROM document_lines),
+l AS (SELECT doc_hash, page, line_no, i, {_strip('t0')} AS t FROM l0)
+SELECT doc_hash, page, string_agg(t, chr(10) ORDER BY line_no, i) AS kept FROM l WHERE t <> '' AND t <> CAST(page AS VARCHAR) GROUP BY ALL""")
 def page_number_furniture(spark, d):
-    lines = v.document_lines(spark, d).select("doc_hash", "page", F.explode(fu.page_paragraphs(F.col("text"), F.col("page"))).alias("t"))
-    return lines.groupBy("doc_hash", "page").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("t")).alias("chars"))
+    lines = v.document_lines(spark, d).select("doc_hash", "page", "line_no", fu.page_paragraphs(F.col("text"), F.col("page")).alias("ts"))
+    whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "ts"))), lambda x: x["ts"]))  # a page's lines
+    return lines.groupBy("doc_hash", "page").agg(whole.alias("ts")).where("size(ts) > 0").select("doc_hash", "page", F.array_join("ts", "\n").alias("kept"))
 
 
 @query(r"""WITH l AS (SELECT *, CAST(floor(y / 15.0) AS BIGINT) AS band FROM document_lines),
@@ -334,6 +346,23 @@ def assign_by_number_or_title(spark, d):
     return pg.match_sections(v.headings(spark, d), v.outline(spark, d)).select("doc_hash", "sec_pos", "method", "page_start", "page_end")
 
 
+@query(f"""WITH {_MATCH}, l AS (SELECT h.doc_hash, h.sec_pos, h.number, h.title, h.level, m.method, m.page_start, m.page_end FROM headings h JOIN m ON m.doc_hash = h.doc_hash AND m.sec_pos = h.sec_pos),
+b AS (SELECT a.doc_hash, a.sec_pos, max(x.sec_pos) AS at FROM l a JOIN l x ON x.doc_hash = a.doc_hash AND x.sec_pos < a.sec_pos AND x.page_start IS NOT NULL WHERE a.page_start IS NULL GROUP BY ALL),
+th AS (SELECT b.doc_hash, b.sec_pos, max(x.level) AS reached, arg_min(x.page_start, x.sec_pos) AS p0, arg_min(x.page_end, x.sec_pos) AS p1 FROM b JOIN l x ON x.doc_hash = b.doc_hash AND x.sec_pos >= b.at AND x.sec_pos < b.sec_pos GROUP BY ALL)
+SELECT l.doc_hash, l.sec_pos, CASE WHEN l.page_start IS NOT NULL THEN method WHEN l.level > reached THEN 'inherited' ELSE 'unmatched' END AS method,
+  CASE WHEN l.page_start IS NOT NULL THEN l.page_start WHEN l.level > reached THEN p0 END AS page_start, CASE WHEN l.page_start IS NOT NULL THEN l.page_end WHEN l.level > reached THEN p1 END AS page_end
+FROM l LEFT JOIN th ON th.doc_hash = l.doc_hash AND th.sec_pos = l.sec_pos""")
+def inherited_pages(spark, d):
+    """The cascade without similar titles."""
+    return pg.inherit_pages(pg.match_sections(v.headings(spark, d), v.outline(spark, d))).select("doc_hash", "sec_pos", "method", "page_start", "page_end")
+
+
+@query(ORACLES["inherited_pages"].replace("\nFROM l LEFT JOIN th", ", l.level AS level\nFROM l LEFT JOIN th").join(["WITH o AS (", """) SELECT doc_hash, count(*) FILTER (WHERE method = 'exact') AS n_exact, count(*) FILTER (WHERE method = 'title') AS n_fuzzy, count(*) FILTER (WHERE method = 'inherited') AS n_inherited,
+  count(*) FILTER (WHERE method = 'unmatched') AS n_unmatched, (count(*) - count(*) FILTER (WHERE method = 'unmatched')) / count(*) AS coverage FROM o GROUP BY doc_hash"""]))
+def inherited_report(spark, d):
+    return pg.assignment_report(pg.inherit_pages(pg.match_sections(v.headings(spark, d), v.outline(spark, d))))
+
+
 @query()
 def assign_pages(spark, d):
     return pg.assign_pages(v.headings(spark, d), v.outline(spark, d))
@@ -465,12 +494,15 @@ def footnote_audit(spark, d):
     return read_table(spark, d, "table_blocks").select("table_id", F.array_join(audit["orphans"], ",").alias("orphans"), F.array_join(audit["uncited"], ",").alias("uncited"))
 
 
-@query("""WITH n AS (SELECT table_id, unnest(list_concat(footnotes, footnotes)) AS f, generate_subscripts(list_concat(footnotes, footnotes), 1) AS i FROM table_blocks),
-k AS (SELECT table_id, i, f.marker AS m FROM n QUALIFY row_number() OVER (PARTITION BY table_id, f.marker ORDER BY i) = 1)
-SELECT t.table_id, coalesce(string_agg(k.m, ',' ORDER BY i), '') AS markers FROM table_blocks t LEFT JOIN k USING (table_id) GROUP BY t.table_id""")
+@query("""WITH o AS (SELECT table_id, footnotes, list_concat(list_transform(footnotes, f -> {'marker': f.marker, 'text': 'again'}), [{'marker': '(9)', 'text': 'nine'}, {'marker': '(9)', 'text': 'ten'}]) AS more FROM table_blocks WHERE footnotes IS NOT NULL),
+n AS (SELECT table_id, unnest(list_concat(footnotes, more)) AS f, generate_subscripts(list_concat(footnotes, more), 1) AS i FROM o),
+k AS (SELECT table_id, i, f.marker || ' ' || f.text AS m FROM n QUALIFY row_number() OVER (PARTITION BY table_id, f.marker ORDER BY i) = 1)
+SELECT table_id, string_agg(m, chr(10) ORDER BY i) AS notes FROM k GROUP BY table_id""")
 def attach_footnotes(spark, d):
-    both = tb.attach_footnotes(F.col("footnotes"), F.col("footnotes"))
-    return read_table(spark, d, "table_blocks").select("table_id", F.array_join(F.transform(both, lambda f: f["marker"]), ",").alias("markers"))
+    note = lambda m, t: F.struct(m.alias("marker"), F.lit(t).alias("text"))
+    more = F.concat(F.transform("footnotes", lambda f: note(f["marker"], "again")), F.array(note(F.lit("(9)"), "nine"), note(F.lit("(9)"), "ten")))
+    both = tb.attach_footnotes(F.col("footnotes"), more)
+    return read_table(spark, d, "table_blocks").where("footnotes is not null").select("table_id", F.array_join(F.transform(both, lambda f: F.concat(f["marker"], F.lit(" "), f["text"])), "\n").alias("notes"))
 
 
 @query("""WITH h AS (SELECT table_id, unnest(headers) AS h, generate_subscripts(headers, 1) AS i FROM table_blocks), n AS (SELECT *, row_number() OVER (PARTITION BY table_id, h ORDER BY i) AS k FROM h)
@@ -491,9 +523,13 @@ def grid_markdown(spark, d):
 _CSV_CELL = """CASE WHEN regexp_matches(c, '[",\\r\\n]') THEN '"' || replace(c, '"', '""') || '"' ELSE coalesce(c, '') END"""
 
 
-@query(f"SELECT table_id, array_to_string(list_transform(grid, r -> array_to_string(list_transform(r, c -> {_CSV_CELL}), ',') || chr(10)), '') AS csv FROM table_blocks")
+@query(f"""WITH h0 AS (SELECT table_id, unnest(headers) AS h, generate_subscripts(headers, 1) AS i FROM table_blocks), h1 AS (SELECT *, row_number() OVER (PARTITION BY table_id, h ORDER BY i) AS k FROM h0),
+hs AS (SELECT table_id, list(CASE WHEN k > 1 THEN h || '_' || k ELSE h END ORDER BY i) AS named FROM h1 GROUP BY table_id)
+SELECT table_id, array_to_string(list_transform(list_concat(CASE WHEN len(named) > 0 THEN [named] ELSE [] END, grid), r -> CASE WHEN len(r) = 1 AND coalesce(r[1], '') = '' THEN '""' ELSE array_to_string(list_transform(r, c -> {_CSV_CELL}), ',') END || chr(10)), '') AS csv
+FROM table_blocks LEFT JOIN hs USING (table_id)""")
 def grid_csv(spark, d):
-    return read_table(spark, d, "table_blocks").select("table_id", tb.grid_csv(F.array().cast("array<string>"), F.col("grid")).alias("csv"))
+    headers = F.coalesce("headers", F.array().cast("array<string>"))
+    return read_table(spark, d, "table_blocks").select("table_id", tb.grid_csv(headers, F.col("grid")).alias("csv"))
 
 
 @query("""WITH g AS (SELECT doc_hash, section, table_index, table_id, unnest(grid) AS r, generate_subscripts(grid, 1) - 1 AS i FROM table_blocks),
@@ -524,6 +560,11 @@ def plot_lookup(spark, d):
     return fg.find_plots(fg.plot_records(v.figures(spark, d)), q="Versus", caption="Figure 2", conditions="M", section="2").select("doc_hash", "caption", "conditions")
 
 
+@query(f"WITH {_FIGURES} SELECT doc_hash, caption, conditions FROM figs WHERE list_contains(list_filter({_KEYWORDS}, k -> contains(lower(caption), k)), 'nf')")
+def plot_lookup_tags(spark, d):
+    return fg.find_plots(fg.plot_records(v.figures(spark, d)), tags=["NF"]).select("doc_hash", "caption", "conditions")
+
+
 @query(f"""WITH {_FIGURES} SELECT doc_hash, caption || ' — §' || number || ' (' || CASE WHEN page IS NULL THEN '?' ELSE 'p.' || page END || ')' || CASE WHEN conditions <> '' THEN ' — ' || conditions ELSE '' END AS line FROM figs""")
 def plot_answers(spark, d):
     return fg.plot_records(v.figures(spark, d)).select("doc_hash", fg.plot_answer_line().alias("line"))
@@ -617,7 +658,13 @@ def backend_routed(spark, d):
     return read_table(spark, d, "sources").select("source_id", inv.backend_of(F.col("vendor"), F.col("doc_type"), ["pdf_layout", "pdf_text", "ti_html"]).alias("backend"))
 
 
-@query("""SELECT source_id, vendor, 'ti' AS detected, '' AS evidence FROM sources WHERE doc_type = 'datasheet' AND NOT starts_with(coalesce(vendor_evidence, ''), 'cli-override') AND vendor IS DISTINCT FROM 'ti'""")
+_SEEN = " ".join(f"WHEN contains(t, '{m}') THEN ['{n}', 'brand:\"{m}\" (p.1)'] WHEN contains(f, '{m}') THEN ['{n}', 'brand:\"{m}\" (filename)']" for n, ms, _ in lx.VENDOR_PROFILES for m in ms)
+
+
+@query(rf"""WITH p AS (SELECT doc_hash, lower(string_agg(text, chr(10))) AS t FROM page_texts WHERE page = 1 GROUP BY doc_hash),
+x AS (SELECT source_id, vendor, coalesce(p.t, '') AS t, lower(regexp_extract(path, '([^/\\]*)$', 1)) AS f FROM sources LEFT JOIN p ON p.doc_hash = {_HASH} WHERE doc_type = 'datasheet' AND NOT starts_with(coalesce(vendor_evidence, ''), 'cli-override')),
+y AS (SELECT *, CASE {_SEEN} ELSE ['{lx.DEFAULT_VENDOR}', ''] END AS v FROM x)
+SELECT source_id, vendor, v[1] AS detected, v[2] AS evidence FROM y WHERE vendor IS DISTINCT FROM v[1]""")
 def vendor_drift(spark, d):
     first = v.page_texts(spark, d).where("page = 1").select(F.col("doc_hash").alias("content_hash"), "text")
     return inv.vendor_drift(read_table(spark, d, "sources"), first)
@@ -661,18 +708,24 @@ def plain_identity(spark, d):
     return read_table(spark, d, "sources").select("source_id", plain_path(F.col("path")).alias("file"), plain_hash(F.col("content_hash")).alias("hash"))
 
 
-@query("""SELECT s.part_number, count(*) AS n_sections, CAST(sum((coalesce(length(p.markdown), 0) + 3) // 4) AS BIGINT) AS tokens, count(*) FILTER (WHERE s.page_start IS NOT NULL) AS with_pages, count(*) FILTER (WHERE s.page_start IS NULL) AS without_pages,
-  CAST(coalesce(sum(t.n), 0) AS BIGINT) AS n_tables FROM unique_sections s LEFT JOIN unique_plans p ON p.doc_hash = s.doc_hash AND p.sec_pos = s.sec_pos
-LEFT JOIN (SELECT doc_hash, section, count(*) AS n FROM table_blocks GROUP BY ALL) t ON t.doc_hash = s.doc_hash AND t.section = s.number GROUP BY s.part_number""")
+@query(f"""WITH {_SPECS}, t AS (SELECT doc_hash, section, count(*) AS n FROM table_blocks GROUP BY ALL), e AS (SELECT DISTINCT ON (part_number) part_number FROM unique_sections),
+c AS (SELECT s.part_number, count(*) AS n_sections, CAST(sum((coalesce(length(p.markdown), 0) + 3) // 4) AS BIGINT) AS total_tokens, CAST(coalesce(sum(t.n), 0) AS BIGINT) AS n_tables, count(*) FILTER (WHERE s.page_start IS NOT NULL) AS sections_with_pages,
+  count(*) FILTER (WHERE s.page_start IS NULL) AS sections_without_pages, count(DISTINCT s.doc_hash) AS n_documents, count(DISTINCT CASE WHEN s.page_start IS NULL THEN s.doc_hash END) AS failed_documents
+  FROM unique_sections s LEFT JOIN unique_plans p ON p.doc_hash = s.doc_hash AND p.sec_pos = s.sec_pos LEFT JOIN t ON t.doc_hash = s.doc_hash AND t.section = s.number GROUP BY s.part_number),
+n AS (SELECT part_number, count(*) AS n_specs FROM specs GROUP BY part_number)
+SELECT c.*, n.n_specs FROM c LEFT JOIN n USING (part_number)""")
 def corpus_stats(spark, d):
+    """The build's stats over the rendered sections; a section without page
+    stands for a failed document."""
+    from sheetloom.plans.build import corpus_stats as stats
+
     s = v.unique_sections(spark, d, "part_number", "number", "page_start")
-    p = v.unique_plans(spark, d).select("doc_hash", "sec_pos", tx.count_tokens(F.col("markdown")).alias("t"))
-    n = read_table(spark, d, "table_blocks").groupBy("doc_hash", F.col("section").alias("number")).agg(F.count(F.lit(1)).alias("n"))
-    joined = s.join(p, ["doc_hash", "sec_pos"], "left").join(n, ["doc_hash", "number"], "left")
-    return joined.groupBy("part_number").agg(
-        F.count(F.lit(1)).alias("n_sections"), F.coalesce(F.sum("t"), F.lit(0)).alias("tokens"), F.count("page_start").alias("with_pages"),
-        F.count_if(F.col("page_start").isNull()).alias("without_pages"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_tables"),
-    )
+    p = v.unique_plans(spark, d).select("doc_hash", "sec_pos", tx.count_tokens(F.col("markdown")).alias("token_count"))
+    n = read_table(spark, d, "table_blocks").groupBy("doc_hash", F.col("section").alias("number")).agg(F.count(F.lit(1)).alias("n_tables"))
+    files = s.join(p, ["doc_hash", "sec_pos"], "left").join(n, ["doc_hash", "number"], "left").withColumns({"n_tables": F.coalesce("n_tables", F.lit(0)), "token_count": F.coalesce("token_count", F.lit(0)), "n_figures": F.lit(0)})
+    extracted = s.select("part_number", "doc_hash", F.lit("x").alias("backend"), F.when(F.col("page_start").isNull(), "no page").alias("error"))
+    out = stats({"section_files": files, "specs": tb.spec_records(read_table(spark, d, "table_blocks"))}, extracted)
+    return out.select("part_number", "n_sections", "total_tokens", "n_tables", "sections_with_pages", "sections_without_pages", "n_documents", "failed_documents", "n_specs")
 
 
 # --- rendered sections and the index -----------------------------------------------------------------------------------------
@@ -690,17 +743,45 @@ def _described(spark, d):
     return out.withColumn("description", ix.describe(F.col("paragraphs"), F.col("symbols"), F.col("n_figures")))
 
 
-@query()
+_DESCRIBED = rf"""{_FIGURES}, pp AS (SELECT section_id, unnest(paragraphs) AS p, generate_subscripts(paragraphs, 1) AS i FROM unique_sections),
+ww AS (SELECT section_id, i, list_filter(regexp_split_to_array(regexp_extract({_strip("regexp_replace(" + _strip('p') + ", '^[• ]+', '')")}, '(?s)^(.*?[.!?]){_S}', 1), '{_S}+'), x -> x <> '') AS short,
+  list_filter(regexp_split_to_array({_strip("regexp_replace(" + _strip('p') + ", '^[• ]+', '')")}, '{_S}+'), x -> x <> '') AS whole FROM pp WHERE p IS NOT NULL),
+ss AS (SELECT section_id, i, CASE WHEN len(short) > 0 THEN short ELSE whole END AS words FROM ww),
+sentences AS (SELECT section_id, array_to_string(arg_min(words, i)[1:28], ' ') AS sentence FROM ss WHERE len(words) >= 4 GROUP BY section_id),
+gg AS (SELECT doc_hash, section, table_index, table_id, unnest(grid) AS r, generate_subscripts(grid, 1) - 1 AS i FROM table_blocks),
+places AS (SELECT doc_hash, section, r[1] AS symbol, min({{'a': table_index, 'b': table_id, 'c': i}}) AS place FROM gg WHERE length(r[1]) BETWEEN 2 AND 14 GROUP BY ALL),
+firsts AS (SELECT * FROM places QUALIFY row_number() OVER (PARTITION BY doc_hash, section ORDER BY place, symbol) <= 8),
+syms AS (SELECT doc_hash, section, string_agg(symbol, ', ' ORDER BY place, symbol) AS symbols FROM firsts GROUP BY ALL),
+nt AS (SELECT doc_hash, section, count(*) AS n_tables FROM table_blocks GROUP BY ALL), nf AS (SELECT doc_hash, sec_pos, count(*) AS n_figures FROM figs GROUP BY ALL),
+described AS (SELECT u.doc_hash, u.sec_pos, u.part_number, u.number, coalesce(u.title, '') AS title, u.page_start, u.page_end, p.file, (coalesce(length(p.markdown), 0) + 3) // 4 AS token_count, coalesce(n_tables, 0) AS n_tables, coalesce(n_figures, 0) AS n_figures,
+  coalesce(nullif(concat_ws(' ', nullif(sentence, ''), 'Parameters: ' || symbols || '.', CASE WHEN n_figures > 0 THEN n_figures || ' plots.' END), ''), '(no content)') AS description
+  FROM unique_sections u JOIN unique_plans p ON p.doc_hash = u.doc_hash AND p.sec_pos = u.sec_pos LEFT JOIN sentences USING (section_id) LEFT JOIN syms ON syms.doc_hash = u.doc_hash AND syms.section = u.number
+  LEFT JOIN nt ON nt.doc_hash = u.doc_hash AND nt.section = u.number LEFT JOIN nf ON nf.doc_hash = u.doc_hash AND nf.sec_pos = u.sec_pos)"""
+_STEPS = ", ".join(f"({i}, {b}, {str(c).lower()}, {str(f).lower()})" for i, (b, c, f) in enumerate(lx.INDEX_LADDER))
+_LINES = f"""{_DESCRIBED}, steps(step, desc_budget, with_conventions, with_facts) AS (VALUES {_STEPS}),
+cut AS (SELECT d.*, s.*, CASE WHEN (length(description) + 3) // 4 <= desc_budget THEN description ELSE substr(description, 1, greatest(desc_budget * 4 - 2, 0)) END AS head, (length(description) + 3) // 4 > desc_budget AS is_cut FROM described d, steps s),
+lines AS (SELECT *, '- **' || trim(number || ' ' || title) || '** — p.' || CASE WHEN page_start IS NULL THEN '?' WHEN page_end IS NOT NULL AND page_end <> 0 AND page_end <> page_start THEN page_start || '-' || page_end ELSE CAST(page_start AS VARCHAR) END
+  || ' — `' || file || '` (' || token_count || ' tok' || CASE WHEN n_tables > 0 THEN ', ' || n_tables || ' tables' ELSE '' END || CASE WHEN n_figures > 0 THEN ', ' || n_figures || ' figs' ELSE '' END || ')'
+  || CASE WHEN desc_budget = 0 OR description = '' THEN '' ELSE chr(10) || '  ' || CASE WHEN NOT is_cut THEN head WHEN contains(head, ' ') THEN regexp_extract(head, '(?s)^(.*) [^ ]*$', 1) || ' …' ELSE head || ' …' END END AS line FROM cut)"""
+
+
+def _ladder(head: int, conventions: int, facts: int) -> str:
+    return f"""{_LINES}, chars AS (SELECT part_number, step, desc_budget, with_conventions, with_facts, sum(length(line)) + count(*) - 1 AS chars FROM lines GROUP BY ALL),
+sums AS (SELECT * EXCLUDE (chars), (chars + 3) // 4 + {head} + CASE WHEN with_conventions THEN {conventions} ELSE 0 END + CASE WHEN with_facts THEN {facts} ELSE 0 END AS tokens FROM chars),
+ladder AS (SELECT *, tokens <= {lx.INDEX_TOKEN_BUDGET} AS fits FROM sums QUALIFY row_number() OVER (PARTITION BY part_number ORDER BY tokens <= {lx.INDEX_TOKEN_BUDGET} DESC, CASE WHEN tokens <= {lx.INDEX_TOKEN_BUDGET} THEN step ELSE -step END) = 1)"""
+
+
+@query(f"WITH {_DESCRIBED} SELECT doc_hash, sec_pos, description FROM described")
 def section_descriptions(spark, d):
     return _described(spark, d).select("doc_hash", "sec_pos", "description")
 
 
-@query()
+@query(f"WITH {_ladder(40, 110, 60)} SELECT part_number, step, desc_budget, with_conventions, with_facts, CAST(tokens AS BIGINT) AS tokens, fits FROM ladder")
 def index_ladder(spark, d):
     return ix.index_ladder(_described(spark, d), ["part_number"], head_tokens=40, conventions_tokens=110, facts_tokens=60)
 
 
-@query()
+@query(f"WITH {_ladder(0, 0, 0)} SELECT l.part_number, l.number, l.file, l.line FROM lines l JOIN ladder c ON c.part_number = l.part_number AND c.step = l.step")
 def index_lines(spark, d):
     rows = _described(spark, d)
     return ix.index_lines(rows, ix.index_ladder(rows, ["part_number"]), ["part_number"])

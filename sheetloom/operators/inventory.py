@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sheetloom.functions import lexicons as lx
 from sheetloom.functions.text import detect_doc_type, sniff_revision
-from sheetloom.operators.registrations import plain_hash
+from sheetloom.operators.registrations import plain_hash, plain_path
 from sheetloom.runtime import sized
 
 
@@ -81,17 +81,23 @@ def extraction_stats(builds: DataFrame, by: list[str]) -> DataFrame:
 
 
 def skip_reason(jobs: DataFrame, published: DataFrame, versions: DataFrame) -> DataFrame:
-    """(source_id, skip): jobs(source_id, part_number, content_hash) may be
-    skipped if their part has published documents, all of them built by
-    today's pipeline and output versions, and the job's hash is among them.
-    Whatever can't be verified is built."""
+    """(source_id, skip, reason): jobs(source_id, part_number, content_hash[,
+    path]) may be skipped if their part has published documents, all of them
+    built by today's pipeline and output versions, and the job's hash is among
+    them, at the job's path where both sides have one. Whatever can't be
+    verified is built, and the reason says why."""
+    place = ["part_number", "content_hash"]
+    if "path" in jobs.columns and "path" in published.columns:
+        place.append("file")
+        jobs, published = (df.withColumn("file", plain_path(F.col("path"))) for df in (jobs, published))
     v = versions.select("backend", F.col("pipeline_version").alias("_p"), F.col("output_version").alias("_o"))
     fresh = F.coalesce((F.col("pipeline_version") == F.col("_p")) & (F.col("extractor_version") == F.col("_o")), F.lit(False))
-    docs = published.join(sized(v.dropDuplicates(["backend"])), "backend", "left").select("part_number", "content_hash", fresh.alias("fresh"))
+    docs = published.join(sized(v.dropDuplicates(["backend"])), "backend", "left").select(*place, fresh.alias("fresh"))
     parts = docs.groupBy("part_number").agg(F.min("fresh").alias("all_fresh"))
-    known = docs.select("part_number", "content_hash").distinct().withColumn("known", F.lit(True))
-    out = jobs.join(parts, "part_number", "left").join(known, ["part_number", "content_hash"], "left")
-    return out.select("source_id", F.coalesce(F.col("all_fresh") & F.col("known"), F.lit(False)).alias("skip"))
+    known = docs.select(*place).distinct().withColumn("known", F.lit(True))
+    out = jobs.join(parts, "part_number", "left").join(known, place, "left")
+    reason = F.when(F.col("all_fresh").isNull(), "nothing published").when(~F.col("all_fresh"), "built by other versions").when(F.col("known").isNull(), "new or changed file")
+    return out.select("source_id", reason.isNull().alias("skip"), reason.alias("reason"))
 
 
 def override_evidence(vendor: str) -> str:

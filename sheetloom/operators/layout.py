@@ -36,13 +36,13 @@ BAND_HEIGHT, CONTENT_SIDE, CONTENT_GAP = 10.0, 25.0, 20.0
 SAME_BAND, PAGE_BOTTOM, BOTTOM_ROOM = 12.0, 700.0, 40.0
 TOC_PAGES, TOC_LINES, TOC_TITLE = 6, 3, 3
 DELTAS = (0, 1, -1, 2, -2)
-SHOWN_REASONS = 8
+SHOWN_REASONS, SHOWN_TITLES = 8, 5
 
 _FIELDS = "caption:string,conditions:string,headers:array<string>,grid:array<array<string>>,footnotes:array<struct<marker:string,text:string>>,cited_markers:array<string>,page:int,row_pages:array<int>"
 LAYOUT = (
     "doc_hash string, sec_pos int, number string, title string, level int, page_start int, page_end int, paragraphs array<string>, "
     f"tables array<struct<{_FIELDS}>>, figures array<struct<caption:string,page:int>>, "
-    "ladder string, tables_detected int, tables_accepted int, tables_rejected int, rejection_reasons array<string>, mean_fidelity double, error string"
+    "ladder string, warning string, tables_detected int, tables_accepted int, tables_rejected int, rejection_reasons array<string>, mean_fidelity double, error string"
 )
 
 
@@ -330,7 +330,10 @@ def extract_document(doc_hash: str, spans: pd.DataFrame, drawings: pd.DataFrame,
     table and a figure to the first section that has its page."""
     n_pages = int(max([0, *spans.page, *drawings.page]))
     pages = read_pages(spans, drawings, n_pages)
-    ladder, entries = ("outline", toc) if any(e.page is not None for e in toc) else ("printed_toc", printed_toc(pages))
+    printed = printed_toc(pages)
+    ladder, entries = ("outline", toc) if any(e.page is not None for e in toc) else ("printed_toc", printed)
+    lacking = [e.title for e in printed if squash(e.title) not in {squash(t.title) for t in toc}] if ladder == "outline" else []
+    warning = f"outline lacks {len(lacking)} printed titles: {'; '.join(lacking[:SHOWN_TITLES])}" if lacking else None
     if not entries:
         ladder = "per_page"
     mark_furniture(pages)
@@ -338,6 +341,7 @@ def extract_document(doc_hash: str, spans: pd.DataFrame, drawings: pd.DataFrame,
     found = Extraction(pages, keys)
     stats = {
         "ladder": ladder,
+        "warning": warning,
         "tables_detected": found.detected,
         "tables_accepted": len(found.fidelities),
         "tables_rejected": len(found.reasons),
@@ -427,6 +431,22 @@ def extract_layout(page_spans: DataFrame, page_drawings: DataFrame, toc: DataFra
     return rows.where("doc_hash is not null").repartition(tasks, "doc_hash").sortWithinPartitions("doc_hash").mapInArrow(run, LAYOUT)
 
 
+def figure_title_anchors(lines: DataFrame, boxes: DataFrame) -> DataFrame:
+    """(doc_hash, page, key, kind, anchor_pos, y0, y1): the clip of each titled
+    drawing, from the top of its title's band to the next such band, or 40
+    points below the page's last line. lines(doc_hash, page, line_no, x, y,
+    text, size), boxes(doc_hash, page, x0, y0, x1, y1); of several bands around
+    a title the first in reading order counts."""
+    large = lines.where((F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")) >= 3) & (F.col("size") >= TITLE_SIZE))
+    around = (F.col("x").between(F.col("x0"), F.col("x1"))) & F.col("y").between(F.col("y0") - 2.0, F.col("y1")) & (F.col("y1") - F.col("y0") >= BAND_HEIGHT)
+    banded = large.join(boxes, ["doc_hash", "page"]).where(around).groupBy("doc_hash", "page", "line_no", "text", "y", "x").agg(F.min(F.struct("y0", "x0")).alias("band"))
+    bottom = lines.groupBy("doc_hash", "page").agg((F.max("y") + BOTTOM_ROOM).alias("bottom"))
+    w = Window.partitionBy("doc_hash", "page").orderBy("y", "x", "line_no")
+    key = F.regexp_replace(F.lower("text"), "[^a-z0-9]+", "")
+    out = banded.join(bottom, ["doc_hash", "page"]).withColumns({"next": F.lead("band.y0").over(w), "anchor_pos": F.row_number().over(w)})
+    return out.select("doc_hash", "page", key.alias("key"), F.lit("title").alias("kind"), "anchor_pos", F.col("band.y0").alias("y0"), F.coalesce("next", "bottom").alias("y1"))
+
+
 def figure_anchors(lines: DataFrame, boxes: DataFrame | None = None) -> DataFrame:
     """(doc_hash, page, key, kind, anchor_pos, y0, y1): the clip of each
     captioned figure, from below the caption before to its own; captions within

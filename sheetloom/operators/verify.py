@@ -99,10 +99,17 @@ def verify_specs(questions: DataFrame, specs: DataFrame) -> DataFrame:
     return per_sub.groupBy("question_id", "sub").agg(F.max(ok).alias("ok")).groupBy("question_id").agg(F.min("ok").alias("passed"))
 
 
-def verify_plots(questions: DataFrame, plots: DataFrame) -> DataFrame:
+#: An image file of no more bytes than this is no plot.
+LEAST_IMAGE = 1024
+
+
+def verify_plots(questions: DataFrame, plots: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """(question_id, found) of questions with a plot_query: whether a plot of
     the document matches its caption, conditions and section and begins on a
-    cited page."""
+    cited page. With files(file, bytes) its image must be there too, and hold
+    more than LEAST_IMAGE bytes."""
+    if files is not None:
+        plots = plots.join(files.where(F.col("bytes") > LEAST_IMAGE).select("file").distinct(), "file", "left_semi")
     asked = questions.where("plot_query is not null").select("question_id", "doc_hash", "plot_query", F.explode_outer(F.array_distinct("pages")).alias("page"))
     q = {k: _entry("plot_query", k) for k in ("caption_contains", "conditions_contain", "section")}
     p = plots.select("doc_hash", F.col("page_start").alias("page"), F.lower("caption").alias("_c"), F.lower("conditions").alias("_d"), F.col("section").alias("_s"))

@@ -27,7 +27,7 @@ from sheetloom.operators.plain import plain_sections
 from sheetloom.operators.tables import grid_csv, key_symbols, spec_records, spec_tables
 from sheetloom.runtime import staged
 from sheetloom.sources.cache import ExtractionCache
-from sheetloom.sources.readers import backend, backends, register_backend
+from sheetloom.sources.readers import PLOT_RECORD, SPEC_RECORD, backend, backends, register_backend
 from sheetloom.sources.writers import EventLog, write_table, write_text_files
 
 PIPELINE_VERSION = "2"
@@ -137,17 +137,17 @@ def ledger(extracted: DataFrame) -> DataFrame:
 
 
 def parts_to_build(spark: SparkSession, sources: DataFrame, out: str) -> DataFrame:
-    """(part_number, skip) of the parts of sources: a part is skipped if all
-    of its documents are published by today's versions. Without a readable
-    ledger nothing is."""
+    """(part_number, skip, reason) of the parts of sources: a part is skipped
+    if all of its documents are published by today's versions from the same
+    path. Without a readable ledger nothing is."""
     try:
         published = spark.read.parquet(f"{out}/tables/documents").where("status = 'done'")
     except AnalysisException:
-        return sources.select("part_number", F.lit(False).alias("skip")).distinct()
+        return sources.select("part_number", F.lit(False).alias("skip"), F.lit("nothing published").alias("reason")).distinct()
     versions = spark.createDataFrame([(b, v, PIPELINE_VERSION) for b, v in OUTPUT_VERSION.items()], "backend string, output_version string, pipeline_version string")
-    jobs = sources.select(F.concat_ws("/", "part_number", "content_hash").alias("source_id"), "part_number", "content_hash")
+    jobs = sources.select(F.concat_ws("/", "part_number", "content_hash", "path").alias("source_id"), "part_number", "content_hash", "path")
     skip = skip_reason(jobs, published, versions)
-    return jobs.join(skip, "source_id").groupBy("part_number").agg(F.min("skip").alias("skip"))
+    return jobs.join(skip, "source_id").groupBy("part_number").agg(F.min("skip").alias("skip"), F.min("reason").alias("reason"))
 
 
 def with_table_pages(sections: DataFrame, pages: DataFrame) -> DataFrame:
@@ -172,7 +172,7 @@ def structure(sections: DataFrame, pages: DataFrame) -> dict[str, DataFrame]:
     good = good.withColumns({c: F.coalesce(c, F.array().cast(good.schema[c].dataType)) for c in ("tables", "figures", "paragraphs")})
     good = with_table_pages(good, pages)
     clean = kept_lines(F.col("paragraphs"))
-    good = good.withColumns({"paragraphs_clean": clean, "stem": tx.section_stem(F.col("number"), F.col("title")), "dir": F.concat(F.lit("docs/"), tx.doc_dir_name(F.col("doc_type"), F.col("doc_hash")))})
+    good = good.withColumns({"paragraphs_clean": clean, "boilerplate_removed": F.size("paragraphs") - F.size(clean), "stem": tx.section_stem(F.col("number"), F.col("title")), "dir": F.concat(F.lit("docs/"), tx.doc_dir_name(F.col("doc_type"), F.col("doc_hash")))})
     # keys carry the position: sections of one stem stay apart
     good = good.withColumn("stem", F.format_string("%03d-%s", "sec_pos", "stem"))
     tables = good.where("size(tables) > 0").select("part_number", "doc_hash", "sec_pos", F.col("number").alias("section"), "page_start", "dir", "stem", F.posexplode("tables").alias("table_index", "t"))
@@ -186,7 +186,8 @@ def structure(sections: DataFrame, pages: DataFrame) -> dict[str, DataFrame]:
     rendered = good.withColumns({"paragraphs": F.col("paragraphs_clean"), "tables": numbered, "figures": figs})
     files = rendered.select(
         "part_number", "doc_hash", "sec_pos", "number", "title", "page_start", "page_end", "dir", "stem", "backend", ix.section_markdown(F.col("label")).alias("markdown"),
-        F.size("tables").alias("n_tables"), F.size("figures").alias("n_figures"), "paragraphs",
+        F.size("tables").alias("n_tables"), F.size("figures").alias("n_figures"), "paragraphs", "boilerplate_removed",
+        F.aggregate("tables", F.lit(0), lambda n, t: n + F.coalesce(F.size(t["footnotes"]), F.lit(0))).alias("n_footnotes"),
     )
     symbols = key_symbols(tables).select("doc_hash", F.col("section").alias("number"), "symbols")
     files = files.join(symbols, ["doc_hash", "number"], "left").withColumn("symbols", F.coalesce("symbols", F.array().cast("array<string>")))
@@ -207,12 +208,41 @@ def corpus_stats(tables: dict[str, DataFrame], extracted: DataFrame) -> DataFram
     s = tables["section_files"].groupBy("part_number").agg(
         F.count(F.lit(1)).alias("n_sections"), F.sum("token_count").alias("total_tokens"), F.sum("n_tables").alias("n_tables"), F.sum("n_figures").alias("n_figures"),
         F.count("page_start").alias("sections_with_pages"), F.count_if(F.col("page_start").isNull()).alias("sections_without_pages"), F.countDistinct("doc_hash").alias("n_documents"),
+        F.sum("n_footnotes").alias("n_footnotes"), F.sum("boilerplate_removed").alias("lines_removed"),
     )
     n = tables["specs"].groupBy("part_number").agg(F.count(F.lit(1)).alias("n_specs"))
     failed = extracted.groupBy("part_number").agg(F.countDistinct(F.when(F.col("error").isNotNull(), F.struct("doc_hash", "backend"))).alias("failed_documents"), F.max("error").alias("error"))
     return failed.join(s, "part_number", "left").join(n, "part_number", "left").withColumn("pipeline_version", F.lit(PIPELINE_VERSION))
 
 
+def part_manifests(files: DataFrame, documents: DataFrame, stats: DataFrame) -> DataFrame:
+    """(part_number, text): one manifest per part, as JSON: its documents, its
+    sections without their texts, and its stats. documents is the ledger, files
+    the section files. A part's manifest is one file, as its index is."""
+    section = F.struct("doc_hash", "sec_pos", "number", "title", "page_start", "page_end", "file", "token_count", "n_tables", "n_figures", "boilerplate_removed", "description")
+    sections = files.groupBy("part_number").agg(F.array_sort(F.collect_list(section)).alias("sections"))
+    listed = documents.groupBy("part_number").agg(F.array_sort(F.collect_set(F.struct("content_hash", "backend", "extractor_version", "status"))).alias("documents"))
+    counts = stats.select("part_number", F.struct(*[c for c in stats.columns if c not in ("part_number", "pipeline_version")]).alias("stats"))
+    whole = listed.join(sections, "part_number", "left").join(counts, "part_number", "left")
+    return whole.select("part_number", F.to_json(F.struct(F.lit(PIPELINE_VERSION).alias("pipeline_version"), "part_number", "documents", "sections", "stats")).alias("text"))
+
+
+def record_files(tables: dict[str, DataFrame]) -> DataFrame:
+    """(path, text) of specs.json and plots.json of each document that has
+    records; a file holds one document's."""
+    dirs = tables["section_files"].select("part_number", "doc_hash", "dir").distinct()
+
+    def files(rows: DataFrame, fields: str, name: str, order: list[str]) -> DataFrame:
+        kept = [F.col(c).cast(t).alias(c) for c, t in (f.split(" ", 1) for f in fields.split(", ")) if c in rows.columns]
+        records = F.transform(F.array_sort(F.collect_list(F.struct(*[F.col(o).alias(f"_{o}") for o in order], F.struct(*kept).alias("r")))), lambda x: x["r"])
+        docs = rows.groupBy("part_number", "doc_hash").agg(records.alias("all")).join(dirs, ["part_number", "doc_hash"])
+        return docs.select(F.concat("part_number", F.lit("/"), "dir", F.lit(f"/{name}.json")).alias("path"), F.to_json(F.struct("part_number", "doc_hash", F.col("all").alias("records" if name == "specs" else "plots"))).alias("text"))
+
+    units = tables["specs"].withColumn("unit", F.struct(F.col("unit").alias("verbatim"), F.col("unit_canonical").alias("canonical")))
+    specs = files(units, SPEC_RECORD, "specs", ["section", "table_index", "row_index"])
+    return specs.unionByName(files(tables["plots"], PLOT_RECORD, "plots", ["id"]))
+
+
 def build(spark: SparkSession, docs: Documents, out: str, budget: int = 3000, progress=lambda stage: None, cache: ExtractionCache | None = None) -> DataFrame:
     """Builds and publishes the corpus of all documents below out. Tables are
     overwritten by part, so parts that aren't among the documents stay. A
@@ -231,12 +261,15 @@ def build(spark: SparkSession, docs: Documents, out: str, budget: int = 3000, pr
     meta = files.select("part_number", "doc_dir", "pos", "number", "title", "file", "page_start", "page_end", "token_count", "n_tables", "n_figures", "description")
     tables["index"] = ix.index_markdown(meta, heads, "part_number", budget)
     tables["stats"] = staged(corpus_stats(tables, extracted), "stats")
-    tables["documents"] = ledger(extracted)
+    known = [c for c in ("path", "vendor", "vendor_evidence") if c in docs.sources.columns]
+    registered = docs.sources.select("part_number", "content_hash", *known).distinct()
+    tables["documents"] = staged(ledger(extracted).join(registered, ["part_number", "content_hash"], "left"), "ledger")
     progress("publishing")
     texts = tables["section_files"].select(F.concat("part_number", F.lit("/"), "file").alias("path"), F.col("markdown").alias("text"))
     index = tables["index"].select(F.concat("part_number", F.lit("/INDEX.md")).alias("path"), F.col("markdown").alias("text"))
+    manifests = part_manifests(tables["section_files"], tables["documents"], tables["stats"]).select(F.concat("part_number", F.lit("/manifest.json")).alias("path"), "text")
     # summed so that every file is written
-    write_text_files(texts.unionByName(index).unionByName(tables["csvs"]), f"{out}/parts").agg(F.sum("bytes")).collect()
+    write_text_files(texts.unionByName(index).unionByName(tables["csvs"]).unionByName(record_files(tables)).unionByName(manifests), f"{out}/parts").agg(F.sum("bytes")).collect()
     for name in (*TABLES[1:], TABLES[0]):
         write_table(tables[name], f"{out}/tables/{name}", ["part_number"])
     return tables["stats"]

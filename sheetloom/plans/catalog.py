@@ -694,7 +694,7 @@ _PATH = r"regexp_replace(regexp_replace(trim(path), '[\\/]+', '/', 'g'), '^(\./)
 @query(f"""WITH v AS (SELECT backend, any_value(pipeline_version) AS p, any_value(output_version) AS o FROM current_versions GROUP BY backend),
 b AS (SELECT part_number, {_HASH} AS h, coalesce(pipeline_version = p AND extractor_version = o, false) AS fresh FROM builds LEFT JOIN v ON v.backend = builds.backend WHERE status = 'done'),
 a AS (SELECT part_number, bool_and(fresh) AS f FROM b GROUP BY part_number), k AS (SELECT DISTINCT part_number, h FROM b)
-SELECT s.source_id, coalesce(a.f AND k.h IS NOT NULL, false) AS skip FROM (SELECT source_id, part_number, {_HASH} AS h FROM sources) s
+SELECT s.source_id, coalesce(a.f AND k.h IS NOT NULL, false) AS skip, CASE WHEN a.f IS NULL THEN 'nothing published' WHEN NOT a.f THEN 'built by other versions' WHEN k.h IS NULL THEN 'new or changed file' END AS reason FROM (SELECT source_id, part_number, {_HASH} AS h FROM sources) s
 LEFT JOIN a ON a.part_number = s.part_number LEFT JOIN k ON k.part_number = s.part_number AND k.h = s.h""")
 def skip_gate(spark, d):
     plain = plain_hash(F.col("content_hash")).alias("content_hash")
@@ -703,14 +703,29 @@ def skip_gate(spark, d):
     return inv.skip_reason(jobs, published, read_table(spark, d, "current_versions"))
 
 
+@query(f"""WITH v AS (SELECT backend, any_value(pipeline_version) AS p, any_value(output_version) AS o FROM current_versions GROUP BY backend),
+b AS (SELECT part_number, {_HASH} AS h, {_PATH} AS file, coalesce(pipeline_version = p AND extractor_version = o, false) AS fresh FROM builds LEFT JOIN v ON v.backend = builds.backend WHERE status = 'done' AND coalesce(pipeline_version = p AND extractor_version = o, false)),
+a AS (SELECT DISTINCT part_number FROM b), k AS (SELECT DISTINCT part_number, h, file FROM b)
+SELECT s.source_id, k.h IS NOT NULL AS skip, CASE WHEN a.part_number IS NULL THEN 'nothing published' WHEN k.h IS NULL THEN 'new or changed file' END AS reason
+FROM (SELECT source_id, part_number, {_HASH} AS h, {_PATH} AS file FROM sources) s LEFT JOIN a ON a.part_number = s.part_number LEFT JOIN k ON k.part_number = s.part_number AND k.h = s.h AND k.file = s.file""")
+def skip_gate_by_path(spark, d):
+    """The gate over what today's versions built, file by file."""
+    plain = plain_hash(F.col("content_hash")).alias("content_hash")
+    versions = read_table(spark, d, "current_versions")
+    jobs = read_table(spark, d, "sources").select("source_id", "part_number", "path", plain)
+    today = versions.select("backend", "pipeline_version", F.col("output_version").alias("extractor_version")).distinct()
+    published = read_table(spark, d, "builds").where("status = 'done'").join(today, ["backend", "pipeline_version", "extractor_version"], "left_semi")
+    return inv.skip_reason(jobs, published.select("part_number", "path", plain, "pipeline_version", "extractor_version", "backend"), versions)
+
+
 @query(f"SELECT source_id, {_PATH} AS file, {_HASH} AS hash FROM sources")
 def plain_identity(spark, d):
     return read_table(spark, d, "sources").select("source_id", plain_path(F.col("path")).alias("file"), plain_hash(F.col("content_hash")).alias("hash"))
 
 
-@query(f"""WITH {_SPECS}, t AS (SELECT doc_hash, section, count(*) AS n FROM table_blocks GROUP BY ALL), e AS (SELECT DISTINCT ON (part_number) part_number FROM unique_sections),
+@query(f"""WITH {_SPECS}, t AS (SELECT doc_hash, section, count(*) AS n, sum(coalesce(len(footnotes), 0)) AS notes FROM table_blocks GROUP BY ALL),
 c AS (SELECT s.part_number, count(*) AS n_sections, CAST(sum((coalesce(length(p.markdown), 0) + 3) // 4) AS BIGINT) AS total_tokens, CAST(coalesce(sum(t.n), 0) AS BIGINT) AS n_tables, count(*) FILTER (WHERE s.page_start IS NOT NULL) AS sections_with_pages,
-  count(*) FILTER (WHERE s.page_start IS NULL) AS sections_without_pages, count(DISTINCT s.doc_hash) AS n_documents, count(DISTINCT CASE WHEN s.page_start IS NULL THEN s.doc_hash END) AS failed_documents
+  count(*) FILTER (WHERE s.page_start IS NULL) AS sections_without_pages, count(DISTINCT s.doc_hash) AS n_documents, count(DISTINCT CASE WHEN s.page_start IS NULL THEN s.doc_hash END) AS failed_documents, CAST(coalesce(sum(t.notes), 0) AS BIGINT) AS n_footnotes, count(*) AS lines_removed
   FROM unique_sections s LEFT JOIN unique_plans p ON p.doc_hash = s.doc_hash AND p.sec_pos = s.sec_pos LEFT JOIN t ON t.doc_hash = s.doc_hash AND t.section = s.number GROUP BY s.part_number),
 n AS (SELECT part_number, count(*) AS n_specs FROM specs GROUP BY part_number)
 SELECT c.*, n.n_specs FROM c LEFT JOIN n USING (part_number)""")
@@ -721,11 +736,29 @@ def corpus_stats(spark, d):
 
     s = v.unique_sections(spark, d, "part_number", "number", "page_start")
     p = v.unique_plans(spark, d).select("doc_hash", "sec_pos", tx.count_tokens(F.col("markdown")).alias("token_count"))
-    n = read_table(spark, d, "table_blocks").groupBy("doc_hash", F.col("section").alias("number")).agg(F.count(F.lit(1)).alias("n_tables"))
-    files = s.join(p, ["doc_hash", "sec_pos"], "left").join(n, ["doc_hash", "number"], "left").withColumns({"n_tables": F.coalesce("n_tables", F.lit(0)), "token_count": F.coalesce("token_count", F.lit(0)), "n_figures": F.lit(0)})
+    notes = F.sum(F.coalesce(F.size("footnotes"), F.lit(0))).alias("n_footnotes")
+    n = read_table(spark, d, "table_blocks").groupBy("doc_hash", F.col("section").alias("number")).agg(F.count(F.lit(1)).alias("n_tables"), notes)
+    files = s.join(p, ["doc_hash", "sec_pos"], "left").join(n, ["doc_hash", "number"], "left").withColumns({"n_tables": F.coalesce("n_tables", F.lit(0)), "token_count": F.coalesce("token_count", F.lit(0)), "n_figures": F.lit(0), "n_footnotes": F.coalesce("n_footnotes", F.lit(0)), "boilerplate_removed": F.lit(1)})
     extracted = s.select("part_number", "doc_hash", F.lit("x").alias("backend"), F.when(F.col("page_start").isNull(), "no page").alias("error"))
     out = stats({"section_files": files, "specs": tb.spec_records(read_table(spark, d, "table_blocks"))}, extracted)
-    return out.select("part_number", "n_sections", "total_tokens", "n_tables", "sections_with_pages", "sections_without_pages", "n_documents", "failed_documents", "n_specs")
+    return out.select("part_number", "n_sections", "total_tokens", "n_tables", "sections_with_pages", "sections_without_pages", "n_documents", "failed_documents", "n_specs", "n_footnotes", "lines_removed")
+
+
+@query("""SELECT s.part_number, s.doc_hash, s.sec_pos, s.number, s.title, s.page_start, s.page_end, p.file, (coalesce(length(p.markdown), 0) + 3) // 4 AS token_count, '2' AS pipeline_version
+FROM unique_sections s JOIN unique_plans p ON p.doc_hash = s.doc_hash AND p.sec_pos = s.sec_pos WHERE s.part_number IS NOT NULL""")
+def manifest_sections(spark, d):
+    """The sections of every part's manifest, written as JSON and read back."""
+    from sheetloom.plans.build import part_manifests
+    from sheetloom.sources.readers import MANIFEST, manifest_sections as sections_of
+
+    s = v.unique_sections(spark, d, "part_number", "number", "title", "page_start", "page_end").where("part_number is not null")
+    p = v.unique_plans(spark, d).select("doc_hash", "sec_pos", "file", tx.count_tokens(F.col("markdown")).alias("token_count"))
+    files = s.join(p, ["doc_hash", "sec_pos"]).withColumns({"n_tables": F.lit(0), "n_figures": F.lit(0), "boilerplate_removed": F.lit(0), "description": F.lit("")})
+    documents = s.select("part_number", F.col("doc_hash").alias("content_hash"), F.lit("x").alias("backend"), F.lit("1").alias("extractor_version"), F.lit("done").alias("status")).distinct()
+    stats = s.groupBy("part_number").agg(F.count(F.lit(1)).alias("n_sections"))
+    texts = part_manifests(files, documents, stats)
+    parsed = texts.select(F.from_json("text", MANIFEST).alias("m")).select("m.*")
+    return sections_of(parsed).select("part_number", "doc_hash", "sec_pos", "number", "title", "page_start", "page_end", "file", "token_count", "pipeline_version")
 
 
 # --- rendered sections and the index -----------------------------------------------------------------------------------------

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
+import time
 import os
 from collections.abc import Callable
 from dataclasses import dataclass, field, fields
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,8 +75,29 @@ def unreadable_documents(spark: SparkSession, path: str) -> DataFrame:
     return raw.where("_corrupt_record is not null and _none is null").select(F.input_file_name().alias("_path"), "_corrupt_record")
 
 
+MANIFEST = (
+    "pipeline_version string, part_number string, documents array<struct<content_hash:string,backend:string,extractor_version:string,status:string>>, "
+    "sections array<struct<doc_hash:string,sec_pos:int,number:string,title:string,page_start:int,page_end:int,file:string,token_count:long,n_tables:int,n_figures:int,boilerplate_removed:int,description:string>>"
+)
+
+
+def manifest_sections(manifests: DataFrame) -> DataFrame:
+    """The sections of manifests, one per row, with part and pipeline version."""
+    return manifests.select("part_number", "pipeline_version", F.inline("sections"))
+
+
+def read_manifests(spark: SparkSession, path: str) -> DataFrame:
+    """The manifests of all parts below path, one per row; broken ones are
+    left out."""
+    return read_json_documents(spark, path, MANIFEST)
+
+
 def read_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """The source documents of an inventory file (a JSON array)."""
+    """The source documents of an inventory file (a JSON array); none if there
+    is no file."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return spark.createDataFrame([], SOURCE_DOCUMENT)
     return spark.read.schema(SOURCE_DOCUMENT).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
@@ -113,17 +137,28 @@ def fetch_plan(urls: DataFrame, cache: DataFrame, binary: bool = False) -> tuple
     return urls.join(cache, "url"), urls.join(known, "url", "left_anti").select("url", name.alias("name"))
 
 
-def fetch_missing(missing: DataFrame, get: Callable[[str], bytes]) -> DataFrame:
+def fetch_missing(missing: DataFrame, get: Callable[[str], bytes], delay: float = 0.0, attempts: int = 1) -> DataFrame:
     """(url, data, error) by calling get on the workers, one address at a time
-    per task; an error is a value, not a failed job."""
-    def run(batches):
-        import pandas as pd
+    per task with a delay (seconds) before each call but the first; a call that
+    fails is tried again up to ``attempts`` times. An error is a value, not a
+    failed job."""
+    def once(url: str, n: int) -> bytes:
+        try:
+            return get(url)
+        except Exception:
+            if n >= attempts:
+                raise
+            time.sleep(delay)
+            return once(url, n + 1)
 
+    def run(batches):
+        waits = itertools.chain([0.0], itertools.repeat(delay))
         for batch in batches:
             rows = []
             for url in batch["url"]:
                 try:
-                    rows.append((url, get(url), None))
+                    time.sleep(next(waits))
+                    rows.append((url, once(url, 1), None))
                 except Exception as e:  # noqa: BLE001
                     rows.append((url, None, str(e)))
             yield pd.DataFrame(rows, columns=["url", "data", "error"])

@@ -3,6 +3,7 @@ import pytest
 
 from sheetloom.cli import main
 from sheetloom.sources.cache import ExtractionCache
+from sheetloom.sources.readers import read_inventory, read_manifests, read_plots, read_specs
 from test_layout import Sheet, spec_table
 
 
@@ -44,6 +45,12 @@ def test_the_corpus_is_complete(spark, corpus):
     limits = open(f"{corpus}/parts/P1/docs/datasheet-aaaaaaaa/sections/001-2-limits.md", encoding="utf-8").read()
     assert limits.startswith("# 2 Limits\n\n<!-- source: Rev. A p.2 -->\n") and "## Table 3. DAC Limits" in limits and "*Machine-readable: `tables/001-2-limits-t01.csv`*" in limits and limits.endswith("(p.2)\n")
     assert open(f"{corpus}/parts/P1/docs/datasheet-aaaaaaaa/tables/001-2-limits-t01.csv").read().startswith("Parameter,Test Conditions,Min,Typ,Max,Unit\nGain 0,,,0.5,,dB\n")
+    (listed,) = [m for m in read_manifests(spark, f"{corpus}/parts/*/manifest.json").collect() if m.part_number == "P1"]
+    assert len(listed.sections) == 4 and listed.sections[1].file.endswith("001-2-limits.md") and {d.status for d in listed.documents} == {"done"}
+    specs = read_specs(spark, f"{corpus}/parts/*/docs/*/specs.json").orderBy("pos").collect()
+    assert [(s.name or s.symbol, s.typ, s.unit.verbatim) for s in specs][:2] == [("Gain 0", "0.5", "dB"), ("Gain 1", "1.5", "dB")]
+    assert [p.caption for p in read_plots(spark, f"{corpus}/parts/*/docs/*/plots.json").collect()] == ["Figure 2. Gain bandwidth over time"]
+    assert stats["P1"].n_footnotes == 0 and stats["P1"].lines_removed == 0
     plain = spark.read.parquet(f"{corpus}/tables/sections").where("doc_hash = 'bbbbbbbb22'").orderBy("sec_pos").collect()
     assert [(r.title, r.paragraphs) for r in plain] == [("Page 1", ["Erratum one", "Use 5 V"]), ("Page 2", ["two"])]
 
@@ -65,11 +72,27 @@ def test_verification(folder, corpus, tmp_path, capsys):
     assert main(["verify", "--corpus", corpus, "--part", "P1", "--golden", str(golden), "--pages", f"{folder}/pages.parquet"]) == 0
     assert "1/1 passed (100%)" in capsys.readouterr().out
     assert main(["verify", "--corpus", corpus, "--part", "P1", "--golden", str(golden)]) == 1
+    golden.write_text("questions:\n- {id: a, question: 'Gain of 1?', expected_substrings: ['1.5'], pages: [2], spec_query: {name: 'gain 1'}}\n- {id: b, question: 'Plot?', pages: [2], plot_query: {caption_contains: bandwidth}}\n")
+    assert main(["verify", "--corpus", corpus, "--part", "P1", "--golden", str(golden), "--pages", f"{folder}/pages.parquet", "--specs"]) == 0
+    out = capsys.readouterr().out
+    assert "Spec record found" in out and "Plot found" in out and "❌" not in out
     assert main(["verify", "--corpus", corpus, "--part", "P1", "--golden", str(tmp_path / "nix.yaml")]) == 2
     golden.write_text("questions: []\n")
     assert main(["verify", "--corpus", corpus, "--part", "P1", "--golden", str(golden)]) == 2
 
 
+def test_documents_are_registered_once(spark, corpus, tmp_path, capsys):
+    file = tmp_path / "dac9-datasheet.pdf"
+    file.write_bytes(b"%PDF")
+    add = ["add-doc", "--corpus", corpus, "--part", "P9", str(file)]
+    assert main(add) == 0 and main(add) == 0
+    assert capsys.readouterr().out.splitlines() == ["P9: 1 documents"] * 2
+    row = read_inventory(spark, f"{corpus}/parts/P9/sources.json").first()
+    assert (row.doc_type, row.vendor, row.part_number) == ("datasheet", "ti", "P9")
+    assert main([*add, "--vendor", "nobody"]) == 2 and main(["add-doc", "--corpus", corpus, "--part", "P9", "nix.pdf"]) == 2
+    assert read_inventory(spark, f"{corpus}/parts/P0/sources.json").count() == 0
+
+
 def test_only_what_changed_is_built_again(spark, folder, corpus, capsys):
     assert main(["build", str(folder), "--corpus", corpus]) == 1
     out = capsys.readouterr().out

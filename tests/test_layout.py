@@ -3,7 +3,7 @@
 import pandas as pd
 
 from sheetloom.operators import reconstruct as rc
-from sheetloom.operators.layout import Entry, entry_ranges, extract_document, extract_layout, figure_anchors, printed_toc, read_pages
+from sheetloom.operators.layout import Entry, entry_ranges, extract_document, extract_layout, figure_anchors, figure_title_anchors, printed_toc, read_pages
 
 LEFTS = [56, 222, 435, 460, 515, 548]
 HEADER = ["Parameter", "Test Conditions", "Min", "Typ", "Max", "Unit"]
@@ -152,6 +152,22 @@ def test_printed_contents_lead_the_sections():
     assert [(e.number, e.title, e.level, e.page) for e in printed_toc(pages)] == [("1", "Features", 1, 2), ("2", "Limits", 1, 3), ("3", "Package", 1, 4)]
 
 
+def test_an_outline_is_held_against_the_printed_contents():
+    s = Sheet()
+    for i, (t, p) in enumerate([("Features", 1), ("Limits", 2), ("Package", 3)]):
+        s.line(1, 100 + 13 * i, (56, f"{i + 1} {t} ........ {p}"))
+        s.line(p + 1, 100, (56, f"{t} text follows here"))
+    secs = s.extract([Entry("1", "Features", 1, 2), Entry("3", "Package", 1, 4)])
+    assert secs[0]["ladder"] == "outline" and secs[0]["warning"] == "outline lacks 1 printed titles: Limits"
+
+
+def test_title_clips(spark):
+    lines = [("d", 1, 1, 60.0, 300.0, "Functional Block Diagram", 14.0), ("d", 1, 2, 60.0, 500.0, "Second Long Title", 14.0), ("d", 1, 3, 60.0, 650.0, "small print down here", 8.0)]
+    boxes = [("d", 1, 50.0, 296.0, 300.0, 316.0), ("d", 1, 50.0, 496.0, 300.0, 516.0), ("d", 1, 50.0, 320.0, 300.0, 490.0)]
+    got = figure_title_anchors(spark.createDataFrame(lines, "doc_hash string, page int, line_no int, x double, y double, text string, size double"), spark.createDataFrame(boxes, "doc_hash string, page int, x0 double, y0 double, x1 double, y1 double"))
+    assert sorted((r.key, r.y0, r.y1) for r in got.collect()) == [("functionalblockdiagram", 296.0, 496.0), ("secondlongtitle", 496.0, 690.0)]
+
+
 def test_ranges_close_at_the_next_entry_up():
     e = [Entry("1", "a", 1, 2), Entry("1.1", "b", 2, 3), Entry("", "c", 2, None), Entry("2", "d", 1, 5), Entry("3", "e", 1, 99)]
     assert entry_ranges(e, 9) == [(2, 4), (3, 4), None, (5, 9), (9, 9)]

@@ -32,6 +32,15 @@ def texts(*xs):
     return F.array(*[s(x) for x in xs])
 
 
+def test_headings_of_any_depth_have_exact_ranges(spark):
+    from sheetloom.operators.ranges import ranges_to_document_end
+
+    levels = [1, 17, 18, 17, 30, 2]
+    toc = spark.createDataFrame([("d", i, str(i), level, i + 1) for i, level in enumerate(levels)], "doc_hash string, pos int, number string, level int, page int")
+    got = ranges_to_document_end(toc, spark.createDataFrame([("d", 9)], "doc_hash string, last_page int")).orderBy("pos").collect()
+    assert [r.page_end for r in got] == [9, 3, 3, 5, 5, 9]
+
+
 def test_tokens_and_truncation(one):
     assert one(*[tx.count_tokens(s(x)) for x in ("", None, "a", "abcd", "abcde", "\U0001f600" * 4)]) == [0, 0, 1, 1, 2, 1]
     assert one(tx.truncate_to_tokens(s("alpha beta gamma"), 3), tx.truncate_to_tokens(s("ab"), 1), tx.truncate_to_tokens(s("alphabet soup"), 0), tx.truncate_to_tokens(s("a" * 20), 2)) == ["alpha …", "ab", "", "aaaaaa …"]

@@ -72,7 +72,8 @@ def test_verification(folder, corpus, tmp_path, capsys):
     assert main(["verify", "--corpus", corpus, "--part", "P1", "--golden", str(golden), "--pages", f"{folder}/pages.parquet"]) == 0
     assert "1/1 passed (100%)" in capsys.readouterr().out
     assert main(["verify", "--corpus", corpus, "--part", "P1", "--golden", str(golden)]) == 1
-    golden.write_text("questions:\n- {id: a, question: 'Gain of 1?', expected_substrings: ['1.5'], pages: [2], spec_query: {name: 'gain 1'}}\n- {id: b, question: 'Plot?', pages: [2], plot_query: {caption_contains: bandwidth}}\n")
+    capsys.readouterr()
+    golden.write_text("questions:\n- {id: a, question: 'Gain of 1?', expected_substrings: ['1.5'], pages: [2], spec_query: {symbol: 'gain 1'}}\n- {id: b, question: 'Plot?', pages: [2], plot_query: {caption_contains: bandwidth}}\n")
     assert main(["verify", "--corpus", corpus, "--part", "P1", "--golden", str(golden), "--pages", f"{folder}/pages.parquet", "--specs"]) == 0
     out = capsys.readouterr().out
     assert "Spec record found" in out and "Plot found" in out and "❌" not in out
